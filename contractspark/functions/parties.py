@@ -55,7 +55,7 @@ def party_entries(parties: Column) -> Column:
     A non-string list entry becomes NULL, which the cleaner drops.
     """
     listed = F.transform(elements(parties), lambda e: F.when(is_string(e), as_text(e)))
-    cut = F.filter(F.transform(F.split(as_text(parties), "[,;]"), strip), lambda p: p != "")
+    cut = F.filter(F.transform(F.split(as_text(parties), "[,;]"), lambda p: strip(p)), lambda p: p != "")
     return F.when(is_list(parties), listed).when(is_string(parties), cut)
 
 

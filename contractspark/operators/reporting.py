@@ -16,7 +16,7 @@ def metrics_table(metrics: DataFrame, models: Sequence[str]) -> DataFrame:
     long = metrics.unpivot(["model"], list(METRICS), "metric", "value")
     wide = long.groupBy("metric").pivot("model", list(models)).agg(F.max("value"))
     order = F.array(*[F.lit(m) for m in METRICS])
-    return wide.withColumn("position", F.array_position(order, F.col("metric")))
+    return wide.withColumn("position", F.array_position(order, F.col("metric")).cast("int"))
 
 
 def markdown_table(metrics: DataFrame, models: Sequence[str]) -> DataFrame:

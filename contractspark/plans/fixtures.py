@@ -134,7 +134,7 @@ FROM c"""
 
 def _chunk_outputs(_: str) -> str:
     return """
-SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS chunk_no,
+SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS chunk_no,
   (l_orderkey + l_linenumber) % 6 AS kind,
   CASE (l_orderkey + l_linenumber) % 6
     WHEN 0 THEN 'no json here'
