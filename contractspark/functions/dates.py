@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_text, strip
+from .text import let, normalize_text, strip
 
 MONTHS = (
     "january", "february", "march", "april", "may", "june",
@@ -31,9 +31,14 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """Date for the accepted spellings (month before day wins for slashes), else NULL."""
-    t = strip(text)
+    """Date for the accepted spellings (month before day wins for slashes), else NULL.
 
+    The shape decides which spelling is tried, so no attempt fails with an exception.
+    """
+    return let(strip(text), _stripped_date)
+
+
+def _stripped_date(t: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(t, pattern, group)
 

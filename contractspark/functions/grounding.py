@@ -6,33 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import CANDIDATE_NULLS, EVALUATION_NULLS, GROUNDED_SHARE
-from .text import normalize_text, strip, words
+from .text import let, normal_words, strip, words
 
 
 def _share_found(value_words: Column, source: Column) -> Column:
     """Share of words that occur anywhere in the source; NULL without words."""
-    found = F.size(F.filter(value_words, lambda w: F.contains(source, w)))
-    return found / F.nullif(F.size(value_words), F.lit(0))
+    return let(
+        value_words,
+        lambda ws: F.size(F.filter(ws, lambda w: F.contains(source, w))) / F.nullif(F.size(ws), F.lit(0)),
+    )
 
 
 def is_grounded(value: Column, lower_source: Column) -> Column:
     """Candidate rule, on lower-cased raw text; null-like and blank values count as grounded."""
-    v = strip(F.lower(value))
-    return (
-        F.when(F.coalesce(v, F.lit("none")).isin(*CANDIDATE_NULLS), F.lit(True))
-        .when(F.contains(lower_source, v), F.lit(True))
-        .otherwise(F.coalesce(_share_found(words(v), lower_source) >= GROUNDED_SHARE, F.lit(True)))
+    return let(
+        F.coalesce(strip(F.lower(value)), F.lit("none")),
+        lambda v: F.when(v.isin(*CANDIDATE_NULLS) | F.contains(lower_source, v), F.lit(True)).otherwise(
+            F.coalesce(_share_found(words(v), lower_source) >= GROUNDED_SHARE, F.lit(True))
+        ),
     )
 
 
-def is_hallucinated(value: Column, normal_source: Column) -> Column:
-    """Evaluation rule, on normalised text; ``normal_source`` must already be normalised."""
-    v = normalize_text(value)
-    return (
-        F.when(strip(F.lower(value)).isin(*EVALUATION_NULLS) | value.isNull(), F.lit(False))
-        .when(F.contains(normal_source, v), F.lit(False))
-        .otherwise(F.coalesce(_share_found(words(v), normal_source) < GROUNDED_SHARE, F.lit(False)))
-    )
+def is_hallucinated(value: Column, normal_value: Column, normal_source: Column) -> Column:
+    """Evaluation rule: the value, the same normalised, and the normalised source text."""
+    return F.when(
+        value.isNull() | ~is_populated(value) | F.contains(normal_source, normal_value), F.lit(False)
+    ).otherwise(F.coalesce(_share_found(normal_words(normal_value), normal_source) < GROUNDED_SHARE, F.lit(False)))
 
 
 def is_populated(value: Column) -> Column:

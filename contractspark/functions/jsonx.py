@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..rules import FIELDS
-from .text import count_of, last_position, strip, strip_end
+from .text import count_of, last_position, let, strip, strip_end
 
 JSON_BLANKS = " \t\n\r"
 _PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "allowSingleQuotes": "false"}
@@ -23,18 +23,18 @@ def strict_label(text: Column, schema: str = schemas.LABEL) -> Column:
     Spark's parsers ignore trailing text; wrapping the text into an array and counting the elements is
     what rejects it.
     """
-    body = strip(text, JSON_BLANKS)
-    single = F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1, F.lit(False))
-    parsed = _label(body, schema)
-    return F.when(F.startswith(body, F.lit("{")) & single & parsed["_corrupt_record"].isNull(), parsed)
+    def parse(body: Column) -> Column:
+        single = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+        return F.when(F.startswith(body, F.lit("{")) & F.coalesce(single, F.lit(False)), _label(body, schema))
+
+    return let(let(strip(text, JSON_BLANKS), parse), lambda parsed: F.when(parsed["_corrupt_record"].isNull(), parsed))
 
 
 def first_object(text: Column, schema: str = schemas.LABEL) -> Column:
     """Parsed first JSON object in free text (fences removed, trailing text ignored), or NULL."""
     bare = F.replace(F.replace(text, F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
-    start = F.locate("{", bare)
-    parsed = _label(F.substring(bare, start, F.length(bare)), schema)
-    return F.when((start > 0) & parsed["_corrupt_record"].isNull(), parsed)
+    body = let(bare, lambda b: F.when(F.contains(b, F.lit("{")), F.substring(b, F.locate("{", b), F.length(b))))
+    return let(_label(body, schema), lambda parsed: F.when(parsed["_corrupt_record"].isNull(), parsed))
 
 
 def is_empty_object(text: Column) -> Column:
@@ -47,12 +47,15 @@ def close_truncated(text: Column) -> Column:
     The cut is at the later of the last comma (dropped) and the last opening brace (kept). Open arrays
     are not repaired, so the result still has to pass :func:`strict_label`.
     """
-    body = strip_end(text)
-    comma, brace = last_position(body, ","), last_position(body, "{")
-    head = F.when(comma > brace, F.substring(body, F.lit(1), comma - 1)).otherwise(F.substring(body, F.lit(1), brace))
-    quoted = F.when(count_of(head, '"') % 2 == 1, F.concat(head, F.lit('"'))).otherwise(head)
-    closed = F.concat(strip_end(strip_end(quoted), ","), F.lit("}"))
-    return F.when(F.greatest(comma, brace) > 0, closed)
+    def head(body: Column) -> Column:
+        comma, brace = last_position(body, ","), last_position(body, "{")
+        return F.when(F.greatest(comma, brace) > 0, F.substring(body, F.lit(1), F.greatest(comma - 1, brace)))
+
+    def close(kept: Column) -> Column:
+        quoted = F.concat(kept, F.when(count_of(kept, '"') % 2 == 1, F.lit('"')).otherwise(F.lit("")))
+        return F.concat(strip_end(strip_end(quoted), ","), F.lit("}"))
+
+    return let(let(strip_end(text), head), close)
 
 
 def kind(value: Column) -> Column:
@@ -79,6 +82,10 @@ def elements(value: Column) -> Column:
 
 
 def _python_quoted(text: Column) -> Column:
+    return let(text, _quote)
+
+
+def _quote(text: Column) -> Column:
     body = text
     for raw, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(raw), F.lit(escaped))
@@ -97,7 +104,10 @@ def _scalar_text(value: Column, type_name: Column) -> Column:
 
 
 def _element_text(value: Column) -> Column:
-    return F.when(is_string(value), _python_quoted(as_text(value))).otherwise(_scalar_text(value, kind(value)))
+    return let(
+        kind(value),
+        lambda k: F.when(k == "STRING", _python_quoted(as_text(value))).otherwise(_scalar_text(value, k)),
+    )
 
 
 def stringify(value: Column) -> Column:
@@ -105,18 +115,18 @@ def stringify(value: Column) -> Column:
 
     Lists print as ``['a', 'b']``. Objects and unusual numbers stay JSON text.
     """
-    type_name = kind(value)
     printed = F.concat(
-        F.lit("["), F.array_join(F.transform(elements(value), _element_text), ", "), F.lit("]")
+        F.lit("["), F.array_join(F.transform(elements(value), lambda e: _element_text(e)), ", "), F.lit("]")
     )
-    return (
-        F.when(value.isNull(), F.lit(""))
-        .when(type_name == "STRING", as_text(value))
-        .when(F.startswith(type_name, F.lit("ARRAY")), printed)
-        .otherwise(_scalar_text(value, type_name))
+    return let(
+        kind(value),
+        lambda k: F.when(k.isNull(), F.lit(""))
+        .when(k == "STRING", as_text(value))
+        .when(F.startswith(k, F.lit("ARRAY")), printed)
+        .otherwise(_scalar_text(value, k)),
     )
 
 
-def field_texts(label: Column) -> Column:
-    """Struct of the four label fields as text; all empty when the label itself is NULL."""
-    return F.struct(*[stringify(label[f]).alias(f) for f in FIELDS])
+def field_texts(label: Column, prefix: str = "") -> dict[str, Column]:
+    """The four label fields as text columns by name; all empty when the label itself is NULL."""
+    return {f"{prefix}{f}": stringify(label[f]) for f in FIELDS}

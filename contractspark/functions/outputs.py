@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsonx import JSON_BLANKS, strict_label
-from .text import strip
+from .jsonx import strict_label
+from .text import let, strip
 
 
 def unfence(text: Column) -> Column:
     """Output text without surrounding backticks and a leading ``json`` tag."""
-    bare = strip(strip(text), "`")
-    tagged = F.ltrim(F.substring(bare, F.lit(5), F.length(bare)), F.lit("\n"))
-    return F.when(F.startswith(bare, F.lit("json")), tagged).otherwise(bare)
+    def untag(bare: Column) -> Column:
+        tagged = F.ltrim(F.substring(bare, F.lit(5), F.length(bare)), F.lit("\n"))
+        return F.when(F.startswith(bare, F.lit("json")), tagged).otherwise(bare)
+
+    return let(strip(strip(text), "`"), untag)
 
 
 def demo_label(text: Column) -> Column:
     """Demo parse: backticks stripped and the first ``json`` + newline removed; NULL when not JSON."""
-    bare = strip(strip(text), "`")
-    at = F.locate("json\n", bare)
-    body = F.when(
-        at > 0, F.concat(F.substring(bare, F.lit(1), at - 1), F.substring(bare, at + 5, F.length(bare)))
-    ).otherwise(bare)
-    return strict_label(strip(body, JSON_BLANKS))
+    def untag(bare: Column) -> Column:
+        at = F.locate("json\n", bare)
+        return F.when(
+            at > 0, F.concat(F.substring(bare, F.lit(1), at - 1), F.substring(bare, at + 5, F.length(bare)))
+        ).otherwise(bare)
+
+    return strict_label(let(strip(strip(text), "`"), untag))

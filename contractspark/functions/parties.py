@@ -21,9 +21,8 @@ def clean_entries(entries: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
 
     Three passes over the array, so that each regular expression runs once per entry.
     """
-    names = F.transform(
-        entries, lambda e: F.when(strip(e) != "", strip(F.regexp_replace(strip(e), rules.label_regex, "")))
-    )
+    bare = F.transform(entries, lambda e: strip(e))
+    names = F.transform(bare, lambda e: F.when(e != "", strip(F.regexp_replace(e, rules.label_regex, ""))))
     located = F.transform(
         names,
         lambda name: F.struct(

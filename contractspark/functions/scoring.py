@@ -8,38 +8,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import normalize_date
-from .text import normalize_text, strip
+from .text import let, normal_words, normalize_text
 
 PARTY_SEPARATOR = r"(?iU),|;|\band\b"
 
 
 def token_set(text: Column) -> Column:
-    normal = normalize_text(text)
-    return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(normal, " ")))
+    return normal_token_set(normalize_text(text))
+
+
+def normal_token_set(normal: Column) -> Column:
+    return F.array_distinct(normal_words(normal))
 
 
 def split_parties(text: Column) -> Column:
     """Distinct normalised party names of a text, split at ``,`` ``;`` and the word "and"."""
-    parts = F.transform(F.split(text, PARTY_SEPARATOR), normalize_text)
-    names = F.array_distinct(F.filter(parts, lambda p: p != ""))
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(names)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), PARTY_SEPARATOR), lambda p: normalize_text(p))
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 
 def sets_f1(predicted: Column, truth: Column) -> Column:
     """F1 of two sets given as arrays without duplicates; two empty sets agree."""
     n_pred, n_truth = F.size(predicted), F.size(truth)
-    common = F.size(F.array_intersect(predicted, truth))
-    precision = common / F.nullif(n_pred, F.lit(0))
-    recall = common / F.nullif(n_truth, F.lit(0))
+
+    def balance(common: Column) -> Column:
+        precision, recall = common / n_pred, common / n_truth
+        return F.when(common == 0, F.lit(0.0)).otherwise(2 * (precision * recall) / (precision + recall))
+
     return (
         F.when((n_pred == 0) & (n_truth == 0), F.lit(1.0))
-        .when((n_pred == 0) | (n_truth == 0) | (common == 0), F.lit(0.0))
-        .otherwise(2 * (precision * recall) / (precision + recall))
+        .when((n_pred == 0) | (n_truth == 0), F.lit(0.0))
+        .otherwise(let(F.size(F.array_intersect(predicted, truth)), balance))
     )
 
 
 def set_f1(predicted: Column, truth: Column, splitter: Callable[[Column], Column]) -> Column:
-    return sets_f1(splitter(predicted), splitter(truth))
+    return let(splitter(predicted), lambda p: let(splitter(truth), lambda t: sets_f1(p, t)))
 
 
 def token_f1(predicted: Column, truth: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,15 @@ SPACE_RUN = f"[{SPACE_CLASS}]+"
 NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACE_CLASS}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row however often the body uses it.
+
+    Without it a value used in several branches is expanded into each of them, and nested uses
+    multiply: generated methods outgrow the size the JVM compiles.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def strip(text: Column, chars: str = WHITESPACE) -> Column:
     return F.btrim(text, F.lit(chars))
 
@@ -33,8 +42,12 @@ def collapse_spaces(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    flat = collapse_spaces(text)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
+
+
+def normal_words(normal: Column) -> Column:
+    """Words of a text that :func:`normalize_text` returned."""
+    return F.filter(F.split(normal, " "), lambda w: w != "")
 
 
 def normalize_text(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.grounding import is_grounded
-from ..functions.jsonx import JSON_BLANKS, as_text, elements, is_list, is_string, strict_label, stringify
+from ..functions.jsonx import as_text, elements, is_list, is_string, strict_label, stringify
 from ..functions.messages import chat
 from ..functions.text import strip
 from ..rules import CONTRACT_TYPES, MAX_ATTEMPTS, PROMPT_HEAD, PROMPT_TAIL, candidate_json_schema
@@ -42,48 +42,54 @@ def validate_candidates(candidates: DataFrame, content: str = "raw_content") ->
     """
     label = F.col("label")
     parties = label["parties"]
-    party_texts = F.when(is_list(parties), F.transform(elements(parties), stringify)).when(
-        is_string(parties), F.array(as_text(parties))
-    )
-    usable = parties.isNull() | party_texts.isNotNull()
-    source = F.coalesce(F.lower(F.when(is_string(label["messy_text"]), as_text(label["messy_text"]))), F.lit(""))
+    texts = {
+        "_text": F.when(is_string(label["messy_text"]), as_text(label["messy_text"])),
+        "_parties": F.when(is_list(parties), F.transform(elements(parties), lambda p: stringify(p))).when(
+            is_string(parties), F.array(as_text(parties))
+        ),
+        "_date": stringify(label["effective_date"]),
+        "_cap": stringify(label["liability_cap"]),
+    }
+    source = F.col("_source")
     reason = (
         F.when(label.isNull(), "bad_json")
-        .when(~usable, "parties_type")
-        .when(~F.coalesce(F.forall(party_texts, lambda p: is_grounded(p, F.col("_source"))), F.lit(True)), "party")
-        .when(~is_grounded(stringify(label["effective_date"]), F.col("_source")), "effective_date")
-        .when(~is_grounded(stringify(label["liability_cap"]), F.col("_source")), "liability_cap")
-        .when(~is_string(label["messy_text"]), "no_messy_text")
+        .when(parties.isNotNull() & F.col("_parties").isNull(), "parties_type")
+        .when(F.exists("_parties", lambda p: ~is_grounded(p, source)), "party")
+        .when(~is_grounded(F.col("_date"), source), "effective_date")
+        .when(~is_grounded(F.col("_cap"), source), "liability_cap")
+        .when(F.col("_text").isNull(), "no_messy_text")
     )
-    parsed = strict_label(strip(F.col(content), JSON_BLANKS), schemas.CANDIDATE_LABEL)
     return (
-        candidates.withColumn("label", parsed)
-        .withColumn("_source", source)
+        candidates.withColumn("label", strict_label(F.col(content), schemas.CANDIDATE_LABEL))
+        .withColumns(texts)
+        .withColumn("_source", F.coalesce(F.lower("_text"), F.lit("")))
         .withColumn("reason", reason)
         .withColumn("valid", F.col("reason").isNull())
-        .drop("_source")
+        .drop("_source", *texts)
     )
 
 
 def candidate_examples(validated: DataFrame, content: str = "raw_content") -> DataFrame:
-    """Valid candidates as chat examples: the text asks, the label without the text answers."""
-    open_label = F.from_json(strip(F.col(content)), "map<string,variant>")
+    """Adds ``messages`` to valid candidates (the text asks, the label without the text answers);
+    NULL for the others."""
+    open_label = F.from_json(F.when(F.col("valid"), strip(F.col(content))), "map<string,variant>")
     answer = F.to_json(F.map_filter(open_label, lambda k, v: k != "messy_text"))
-    return (
-        validated.where("valid")
-        .withColumn("messages", chat(as_text(F.col("label")["messy_text"]), answer))
-        .select("example_id", "attempt", "messages")
+    return validated.withColumn(
+        "messages", F.when(F.col("valid"), chat(as_text(F.col("label")["messy_text"]), answer))
     )
 
 
 def first_valid_attempt(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The earliest valid attempt of each example; examples without one give no row.
 
-    Invalid rows go before the shuffle and ``min_by`` combines map-side, so one example with very
-    many attempts costs one row per task.
+    ``min_by`` combines map-side, so one example with very many attempts costs one row per task.
+    Validity is a condition of the aggregate, not a filter before it: a filter would be pushed below
+    the projections and repeat the parsing and validation it depends on.
     """
     tried = candidates.where(F.col("attempt") < max_attempts)
     examples = candidate_examples(validate_candidates(tried))
-    return examples.groupBy("example_id").agg(
-        F.min("attempt").alias("attempt"), F.min_by("messages", "attempt").alias("messages")
+    attempt = F.when(F.col("valid"), F.col("attempt"))
+    kept = examples.groupBy("example_id").agg(
+        F.min(attempt).alias("attempt"), F.min_by("messages", attempt).alias("messages")
     )
+    return kept.where(F.col("attempt").isNotNull())

@@ -52,10 +52,10 @@ def route_input(requests: DataFrame, limit: int = DEMO_TEXT_CHARS) -> DataFrame:
 
 
 def parse_or_error(outputs: DataFrame, text: str = "output_text") -> DataFrame:
-    """Adds ``fields`` (four texts, NULL when not JSON), ``error`` and ``raw_output``."""
+    """Adds the four fields as text (NULL when not JSON), ``error`` and ``raw_output``."""
     return (
         outputs.withColumn("_label", demo_label(F.col(text)))
-        .withColumn("fields", F.when(F.col("_label").isNotNull(), field_texts(F.col("_label"))))
+        .withColumns({f: F.when(F.col("_label").isNotNull(), c) for f, c in field_texts(F.col("_label")).items()})
         .withColumn("error", F.when(F.col("_label").isNull(), F.lit(INVALID_OUTPUT)))
         .withColumn("raw_output", F.when(F.col("_label").isNull(), F.col(text)))
         .drop("_label")

@@ -7,14 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
 from ..functions.flags import document_type, truth_flags
 from ..functions.grounding import is_hallucinated, is_populated
 from ..functions.jsonx import close_truncated, field_texts, strict_label
 from ..functions.messages import first_of_role
 from ..functions.outputs import unfence
 from ..functions.repetition import loop_position
-from ..functions.scoring import sets_f1, split_parties, token_set
-from ..functions.dates import normalize_date
+from ..functions.scoring import normal_token_set, sets_f1, split_parties
 from ..functions.text import normalize_text
 from ..rules import DEFAULT_RULES, DOC_TYPES, FIELDS, LOOP_MIN_LEN, LOOP_REPEATS, METRIC_LABELS, RuleSet
 
@@ -29,7 +29,7 @@ def align_predictions(predictions: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def parse_outputs(outputs: DataFrame, text: str = "output_text") -> DataFrame:
-    """Adds ``predicted`` (four field texts), ``parse_failed`` and ``was_truncated``.
+    """Adds ``pred_<field>`` texts, ``parse_failed`` and ``was_truncated``.
 
     Only a text that is not one JSON object, and is long enough to loop, goes to the repetition
     search; if a loop was cut the rest is closed and parsed again.
@@ -43,20 +43,20 @@ def parse_outputs(outputs: DataFrame, text: str = "output_text") -> DataFrame:
         .withColumn("_direct", strict_label(F.col("_text")))
         .withColumn("_loop_at", loop_position(F.when(searched, F.col("_text"))))
         .withColumn("_label", F.coalesce(direct, salvaged))
-        .withColumn("predicted", field_texts(F.col("_label")))
+        .withColumns(field_texts(F.col("_label"), "pred_"))
         .withColumn("parse_failed", F.col("_label").isNull())
         .withColumn("was_truncated", loop_at >= 0)
         .drop("_text", "_direct", "_loop_at", "_label")
     )
 
 
-def _prepared(field: str, text: Column) -> Column:
+def _prepared(field: str, text: Column, normal: Column) -> Column:
     """What the score of a field compares, so that it is computed once per side."""
     if field == "parties":
         return split_parties(text)
     if field == "effective_date":
-        return normalize_date(text)
-    return token_set(text)
+        return F.coalesce(parse_date(text).cast("string"), normal)
+    return normal_token_set(normal)
 
 
 def _score(field: str, predicted: Column, truth: Column) -> Column:
@@ -70,19 +70,21 @@ def prepare_truth(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFr
 
     Computed before the join with the predictions, hence once per example rather than per model.
     """
-    texts = F.col("_truth")
+    text = {f: F.col(f"_text_{f}") for f in FIELDS}
+    normal = {f: F.col(f"_normal_{f}") for f in FIELDS}
     source = F.coalesce(first_of_role(F.col("messages"), "user"), F.lit(""))
     return (
         examples.select("example_id", source.alias("_source"),
                         strict_label(first_of_role(F.col("messages"), "assistant")).alias("_label"))
-        .withColumn("_truth", field_texts(F.col("_label")))
+        .withColumns(field_texts(F.col("_label"), "_text_"))
+        .withColumns({f"_normal_{f}": normalize_text(text[f]) for f in FIELDS})
         .select(
             "example_id",
             normalize_text(F.col("_source")).alias("source"),
             document_type(F.col("_source"), rules).alias("doc_type"),
-            (F.size(truth_flags(texts["effective_date"], texts["parties"], rules)) > 0).alias("flagged"),
-            *[_prepared(f, texts[f]).alias(f"truth_{f}") for f in FIELDS],
-            *[is_populated(texts[f]).alias(f"populated_{f}") for f in FIELDS],
+            (F.size(truth_flags(text["effective_date"], text["parties"], rules)) > 0).alias("flagged"),
+            *[_prepared(f, text[f], normal[f]).alias(f"truth_{f}") for f in FIELDS],
+            *[is_populated(text[f]).alias(f"populated_{f}") for f in FIELDS],
         )
     )
 
@@ -90,12 +92,18 @@ def prepare_truth(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFr
 def score_predictions(predictions: DataFrame, examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Per model and example: ``doc_type, parse_failed, was_truncated, flagged`` and, per field,
     ``score_*``, ``hallucinated_*`` and ``populated_*``. One join on ``example_id``."""
-    parsed = parse_outputs(predictions).select("model", "example_id", "predicted", "parse_failed", "was_truncated")
-    pred = F.col("predicted")
+    pred = {f: F.col(f"pred_{f}") for f in FIELDS}
+    normal = {f: F.col(f"normal_{f}") for f in FIELDS}
+    parsed = (
+        parse_outputs(predictions)
+        .select("model", "example_id", "parse_failed", "was_truncated", *pred.values())
+        .withColumns({f"normal_{f}": normalize_text(pred[f]) for f in FIELDS})
+        .withColumns({f"set_{f}": _prepared(f, pred[f], normal[f]) for f in FIELDS})
+    )
     return align_predictions(parsed, prepare_truth(examples, rules)).select(
         "model", "example_id", "doc_type", "parse_failed", "was_truncated", "flagged",
-        *[_score(f, _prepared(f, pred[f]), F.col(f"truth_{f}")).alias(f"score_{f}") for f in FIELDS],
-        *[is_hallucinated(pred[f], F.col("source")).alias(f"hallucinated_{f}") for f in FIELDS],
+        *[_score(f, F.col(f"set_{f}"), F.col(f"truth_{f}")).alias(f"score_{f}") for f in FIELDS],
+        *[is_hallucinated(pred[f], normal[f], F.col("source")).alias(f"hallucinated_{f}") for f in FIELDS],
         *[f"populated_{f}" for f in FIELDS],
     )
 

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import chat
 
-TABLES = ("orders", "customer", "lineitem", "documents", "conversations", "pages")
-
-
 def _each(dialect: str, name: str, values: list[int]) -> str:
     """A lateral repetition of the row before it, once per value."""
     items = ", ".join(str(v) for v in values)
@@ -173,6 +170,15 @@ VIEWS = {
     "fx_pages": _pages,
     "fx_payload": _payload,
 }
+READS = {
+    "fx_examples": ("orders", "customer"),
+    "fx_predictions": (),
+    "fx_qa": ("orders", "documents"),
+    "fx_candidates": ("orders", "customer"),
+    "fx_chunk_outputs": ("lineitem",),
+    "fx_pages": ("conversations",),
+    "fx_payload": ("pages",),
+}
 NEEDS = {"fx_predictions": ("fx_examples",)}
 
 
@@ -186,12 +192,22 @@ def sql_prefix(*views: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({VIEWS[v]('duckdb')}\n)" for v in order)
 
 
+def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A driver table, spread over the session's cores when its file gives fewer splits than that.
+
+    The small test files hold one row group each; data with enough splits is left as it lies.
+    """
+    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or fixture view, lazily, over the files in ``sf_dir``."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return _scan(spark, sf_dir, name)
+    for table in READS[name]:
+        _scan(spark, sf_dir, table).createOrReplaceTempView(table)
     for view in NEEDS.get(name, ()):
         load(spark, sf_dir, view).createOrReplaceTempView(view)
     return spark.sql(VIEWS[name]("spark"))

@@ -46,7 +46,8 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def _paired(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted and true field texts side by side."""
-    truth = _labelled(spark, sf).select("example_id", jsonx.field_texts(F.col("label")).alias("truth"))
+    texts = jsonx.field_texts(F.col("label"), "true_")
+    truth = _labelled(spark, sf).withColumns(texts).select("example_id", *texts)
     return evaluation.align_predictions(evaluation.parse_outputs(fx.predictions(spark, sf)), truth)
 
 
@@ -241,8 +242,8 @@ def flag_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def flag_truth(spark: SparkSession, sf: str) -> DataFrame:
-    fields = _labelled(spark, sf).select("example_id", jsonx.field_texts(F.col("label")).alias("t"))
-    found = flags.truth_flags(F.col("t.effective_date"), F.col("t.parties"))
+    fields = _labelled(spark, sf).withColumns(jsonx.field_texts(F.col("label")))
+    found = flags.truth_flags(F.col("effective_date"), F.col("parties"))
     return fields.select("example_id", _joined(found).alias("flags"))
 
 
@@ -401,19 +402,19 @@ def split_parties(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
     f = "termination_conditions"
-    score = scoring.token_f1(F.col("predicted")[f], F.col("truth")[f])
+    score = scoring.token_f1(F.col(f"pred_{f}"), F.col(f"true_{f}"))
     return _paired(spark, sf).select("model", "example_id", F.round(score, 6).alias("score"))
 
 
 @query
 def party_f1(spark: SparkSession, sf: str) -> DataFrame:
-    score = scoring.party_f1(F.col("predicted.parties"), F.col("truth.parties"))
+    score = scoring.party_f1(F.col("pred_parties"), F.col("true_parties"))
     return _paired(spark, sf).select("model", "example_id", F.round(score, 6).alias("score"))
 
 
 @query
 def date_match(spark: SparkSession, sf: str) -> DataFrame:
-    score = scoring.date_match(F.col("predicted.effective_date"), F.col("truth.effective_date"))
+    score = scoring.date_match(F.col("pred_effective_date"), F.col("true_effective_date"))
     return _paired(spark, sf).select("model", "example_id", score.alias("score"))
 
 
@@ -447,13 +448,15 @@ def close_json(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parse_outputs(spark: SparkSession, sf: str) -> DataFrame:
     parsed = evaluation.parse_outputs(fx.predictions(spark, sf))
-    return parsed.select("model", "example_id", "predicted.*", "parse_failed", "was_truncated")
+    return parsed.select(
+        "model", "example_id", *[F.col(f"pred_{f}").alias(f) for f in FIELDS], "parse_failed", "was_truncated"
+    )
 
 
 @query
 def parse_or_error(spark: SparkSession, sf: str) -> DataFrame:
     parsed = documents.parse_or_error(fx.predictions(spark, sf))
-    return parsed.select("model", "example_id", "fields.*", "error", "raw_output")
+    return parsed.select("model", "example_id", *FIELDS, "error", "raw_output")
 
 
 @query
