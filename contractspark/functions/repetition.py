@@ -24,12 +24,16 @@ def loop_start(text: str, min_len: int = LOOP_MIN_LEN, repeats: int = LOOP_REPEA
 
     A chunk of length L starting at s repeats ``repeats`` times exactly when the text agrees with
     itself shifted by L on the (repeats-1)*L characters from s on, so for each L one comparison of two
-    array slices and the run lengths of its matches decide all start positions at once.
+    array slices and the run lengths of its matches decide all start positions at once. Only the
+    lengths found by :func:`_possible_lengths` are compared; for ordinary text there are none.
     """
+    n = len(text)
+    sizes = _possible_lengths(text, min_len, min(LOOP_MAX_LEN, n // repeats))
+    if not sizes:
+        return -1
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = len(chars)
     visible = np.concatenate(([0], np.cumsum(~np.isin(chars, _SPACES))))
-    for size in range(min_len, min(LOOP_MAX_LEN, n // repeats) + 1, LOOP_STEP):
+    for size in sizes:
         last = n - size * repeats  # starts must lie before this
         if last <= 0:
             continue
@@ -44,6 +48,22 @@ def loop_start(text: str, min_len: int = LOOP_MIN_LEN, repeats: int = LOOP_REPEA
     return -1
 
 
+def _possible_lengths(text: str, gram: int, longest: int) -> list[int]:
+    """Chunk lengths L for which some ``gram`` characters at a multiple of ``gram`` recur L later.
+
+    Any chunk at least ``gram`` long covers such a multiple, so no looping length is missed.
+    """
+    found = set()
+    for at in range(0, len(text) - 2 * gram + 1, gram):
+        piece, stop = text[at:at + gram], at + longest + gram
+        again = text.find(piece, at + gram, stop)
+        while again >= 0:
+            if (again - at - gram) % LOOP_STEP == 0:
+                found.add(again - at)
+            again = text.find(piece, again + 1, stop)
+    return sorted(found)
+
+
 @F.pandas_udf(IntegerType())
 def _loop_starts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: -1 if t is None else loop_start(t)).astype("int32")

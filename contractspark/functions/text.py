@@ -13,7 +13,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_CLASS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+# The same set for regular expressions; single Latin characters are listed one by one because the
+# JVM keeps those in one bit set, while each range or category costs a call per character.
+SPACE_CLASS = r" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x{85}\p{Z}"
 SPACE_RUN = f"[{SPACE_CLASS}]+"
 NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACE_CLASS}]"
 
@@ -52,7 +54,7 @@ def normal_words(normal: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Lower case, punctuation deleted, white space collapsed; NULL becomes the empty string."""
-    bare = F.regexp_replace(F.lower(text), NOT_WORD_OR_SPACE, "")
+    bare = F.regexp_replace(F.lower(text), NOT_WORD_OR_SPACE + "+", "")
     return F.coalesce(collapse_spaces(bare), F.lit(""))
 
 
