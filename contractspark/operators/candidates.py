@@ -11,7 +11,6 @@ from .. import schemas
 from ..functions.grounding import is_grounded
 from ..functions.jsonx import as_text, elements, is_list, is_string, strict_label, stringify
 from ..functions.messages import chat
-from ..functions.text import strip
 from ..rules import CONTRACT_TYPES, MAX_ATTEMPTS, PROMPT_HEAD, PROMPT_TAIL, candidate_json_schema
 
 
@@ -69,14 +68,12 @@ def validate_candidates(candidates: DataFrame, content: str = "raw_content") ->
     )
 
 
-def candidate_examples(validated: DataFrame, content: str = "raw_content") -> DataFrame:
-    """Adds ``messages`` to valid candidates (the text asks, the label without the text answers);
-    NULL for the others."""
-    open_label = F.from_json(F.when(F.col("valid"), strip(F.col(content))), "map<string,variant>")
+def candidate_examples(accepted: DataFrame, content: str = "raw_content") -> DataFrame:
+    """Accepted candidates as chat examples: the text asks, the label without the text answers."""
+    text = as_text(strict_label(F.col(content), schemas.CANDIDATE_LABEL)["messy_text"])
+    open_label = F.from_json(F.col(content), "map<string,variant>")
     answer = F.to_json(F.map_filter(open_label, lambda k, v: k != "messy_text"))
-    return validated.withColumn(
-        "messages", F.when(F.col("valid"), chat(as_text(F.col("label")["messy_text"]), answer))
-    )
+    return accepted.select("example_id", "attempt", chat(text, answer).alias("messages"))
 
 
 def first_valid_attempt(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -86,10 +83,9 @@ def first_valid_attempt(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS)
     Validity is a condition of the aggregate, not a filter before it: a filter would be pushed below
     the projections and repeat the parsing and validation it depends on.
     """
-    tried = candidates.where(F.col("attempt") < max_attempts)
-    examples = candidate_examples(validate_candidates(tried))
+    tried = validate_candidates(candidates.where(F.col("attempt") < max_attempts))
     attempt = F.when(F.col("valid"), F.col("attempt"))
-    kept = examples.groupBy("example_id").agg(
-        F.min(attempt).alias("attempt"), F.min_by("messages", attempt).alias("messages")
+    accepted = tried.groupBy("example_id").agg(
+        F.min(attempt).alias("attempt"), F.min_by("raw_content", attempt).alias("raw_content")
     )
-    return kept.where(F.col("attempt").isNotNull())
+    return candidate_examples(accepted.where(F.col("attempt").isNotNull()))

@@ -89,15 +89,16 @@ FROM e"""
 
 def _qa(dialect: str) -> str:
     return f"""
-WITH n AS (SELECT count(*) AS n_docs FROM documents),
-q AS (
-  SELECT o_orderkey, o_custkey, o_orderdate, o_custkey % (SELECT n_docs FROM n) AS doc_key, k,
+WITH a AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, text FROM orders JOIN documents ON doc_id = CAST(floor(o_custkey * 2 / 3) AS BIGINT)
+), q AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, text, k,
     CASE k WHEN 0 THEN 'Highlight the parts related to "Parties".' WHEN 1 THEN 'What is the Effective Date?'
       WHEN 2 THEN 'Is there a Liability Cap?' WHEN 3 THEN 'Can one side TERMINATE without cause?'
       ELSE 'What is the Governing Law?' END AS question
-  FROM orders{_each(dialect, "k", [0, 1, 2, 3, 4])}
+  FROM a{_each(dialect, "k", [0, 1, 2, 3, 4])}
 )
-SELECT o_orderkey * 5 + k AS row_id, 'Agreement ' || CAST(o_custkey % 900 AS STRING) || '. ' || d.text AS context, question,
+SELECT o_orderkey * 5 + k AS row_id, 'Agreement ' || CAST(o_custkey % 900 AS STRING) || '. ' || text AS context, question,
   CASE
     WHEN (o_orderkey + k) % 4 = 0 OR o_custkey % 9 = 0 OR (o_custkey % 9 = 1 AND k < 2) THEN NULL
     WHEN k = 0 THEN '  Party ' || CAST(o_orderkey % 3 AS STRING) || ' '
@@ -107,7 +108,7 @@ SELECT o_orderkey * 5 + k AS row_id, 'Agreement ' || CAST(o_custkey % 900 AS STR
     ELSE 'State law'
   END AS answer1,
   CASE WHEN (o_orderkey + k) % 4 = 1 AND o_custkey % 9 > 1 THEN 'second answer' ELSE NULL END AS answer2
-FROM q JOIN documents d ON d.doc_id = doc_key"""
+FROM q"""
 
 
 def _candidates(dialect: str) -> str:

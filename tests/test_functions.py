@@ -131,7 +131,7 @@ def test_loop_start_against_brute_force():
 
 def test_loop_must_end_before_the_text_does():
     unit = "abcdefghijklmnopqrstuvwxy"  # 25 characters
-    assert loop_start("{" + unit * 3) == 0 or loop_start("{" + unit * 3) == -1
+    assert loop_start("{" + unit * 3) == -1
     assert loop_start(unit * 3) == -1 and loop_start(unit * 3 + "z") == 0
     assert loop_start(" " * 400) == -1
 
