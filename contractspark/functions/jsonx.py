@@ -115,15 +115,18 @@ def stringify(value: Column) -> Column:
 
     Lists print as ``['a', 'b']``. Objects and unusual numbers stay JSON text.
     """
+    return let(value, lambda v: let(kind(v), lambda k: _text_of_kind(v, k)))
+
+
+def _text_of_kind(value: Column, type_name: Column) -> Column:
     printed = F.concat(
         F.lit("["), F.array_join(F.transform(elements(value), lambda e: _element_text(e)), ", "), F.lit("]")
     )
-    return let(
-        kind(value),
-        lambda k: F.when(k.isNull(), F.lit(""))
-        .when(k == "STRING", as_text(value))
-        .when(F.startswith(k, F.lit("ARRAY")), printed)
-        .otherwise(_scalar_text(value, k)),
+    return (
+        F.when(type_name.isNull(), F.lit(""))
+        .when(type_name == "STRING", as_text(value))
+        .when(F.startswith(type_name, F.lit("ARRAY")), printed)
+        .otherwise(_scalar_text(value, type_name))
     )
 
 

@@ -125,12 +125,12 @@ def validate_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def first_valid_attempt(spark: SparkSession, sf: str) -> DataFrame:
     kept = candidates.first_valid_attempt(fx.load(spark, sf, "fx_candidates"))
     answer = messages.first_of_role(F.col("messages"), "assistant")
-    label = jsonx.strict_label(answer)
-    return kept.select(
+    parsed = kept.withColumn("_answer", answer).withColumn("_label", jsonx.strict_label(F.col("_answer")))
+    return parsed.select(
         "example_id", "attempt", messages.first_of_role(F.col("messages"), "user").alias("user_text"),
-        *[jsonx.stringify(label[f]).alias(f) for f in FIELDS],
-        F.get_json_object(answer, "$.extra").alias("extra"),
-        F.contains(answer, F.lit("messy_text")).alias("has_text"),
+        *[jsonx.stringify(F.col("_label")[f]).alias(f) for f in FIELDS],
+        F.get_json_object("_answer", "$.extra").alias("extra"),
+        F.contains("_answer", F.lit("messy_text")).alias("has_text"),
     )
 
 
