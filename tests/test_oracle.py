@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
+from contractspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "customer", "lineitem", "documents", "conversations", "pages")
@@ -30,10 +31,10 @@ def canonical(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = entry_module.queries()[name](spark, SF)
     relation = duck.sql(entry_module.oracle_sql()[name])
