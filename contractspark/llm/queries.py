@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, licenses, quality, simhash, token_counts
+from .common import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,11 +26,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: The near-duplicate contract: words in a shingle, and most differing bits.
+SHINGLE, DISTANCE = 4, 4
+
+
+@query
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_duplicates(documents(spark, sf_dir), SHINGLE, DISTANCE)
+    return grouped.select(F.col("id").alias("doc_id"), simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.with_measures(documents(spark, sf_dir).select("doc_id", "text"))
+    slim = measured.select("row.doc_id", *quality.MEASURES, *quality.MORE_MEASURES)
+    return quality.judge(stage(slim, "quality")).select("doc_id", *quality.MEASURES, "base_failed", "kept", "quality")
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -38,3 +56,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", byte_bpe.n_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    starts = F.transform("base_spans", lambda s: s["start"])
+    labels = F.array_sort(F.array_distinct(F.transform("base_spans", lambda s: s["label"])))
+    return found.select(
+        "row.doc_id", "n_words", F.size("base_spans").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
