@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, quality, simhash, token_counts
+from . import byte_bpe, language, licenses, quality, simhash, token_counts, weighted_sampling
 from .common import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stage(slim, "quality")).select("doc_id", *quality.MEASURES, "base_failed", "kept", "quality")
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", language.held_out())
+    model = language.fit(docs.where("NOT held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = weighted_sampling.compare_with_next(documents(spark, sf_dir))
+    prints = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return compared.withColumns(prints)
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
