@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, licenses, quality, simhash, token_counts, weighted_sampling
+from . import byte_bpe, language, licenses, pii, quality, simhash, token_counts, weighted_sampling
 from .common import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,16 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared.withColumns(prints)
 
 
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find_spans(docs, pii.fit(docs), ["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *(number(k) for k in pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
