@@ -90,8 +90,8 @@ class BytePairs:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.spaces_lead = pattern == SPACES_LEAD
-        self.packed = Memo(self._packed, 150_000)
-        self.after_space = Memo(lambda part: self._pieces(" " + part), 300_000)
+        self.packed = Memo(self._packed, 100_000)
+        self.after_space = Memo(lambda part: self._pieces(" " + part), 200_000)
 
     def _packed(self, piece: str) -> bytes:
         """A pre-token's ids as little-endian unsigned 32-bit integers."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, licenses, pii, quality, simhash, token_counts, weighted_sampling
+from . import byte_bpe, chat, language, licenses, mixing, pii, quality, simhash, token_counts, weighted_sampling
 from .common import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(k) for k in pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+#: A conversation that holds the template's own control strings.
+TRICKY = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+@query
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(TRICKY, "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(extra))))
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -82,6 +93,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = stage(mixing.sized(documents(spark, sf_dir), F.lit(0)), "sizes")
+    return mixing.mix(sizes).select(
+        F.col("id").alias("doc_id"), "size", F.col("source_size").cast("bigint").alias("source_size"), "target",
+        (F.col("size") * F.col("copies")).alias("taken"), "copies",
+    )
+
+
 @query
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
