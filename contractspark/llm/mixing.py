@@ -43,8 +43,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     filled = weighed.withColumns({"full": limit / F.col("weight"), "limit": limit})
     left = F.sum("source_size").over(everyone) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     shares = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levelled = filled.withColumn("level", left / shares)
-    level = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "level"))).over(everyone)["level"]
+    levelled = filled.withColumns({"level": left / shares, "place": F.row_number().over(by_level)})
+    level = F.min(F.when(F.col("level") <= F.col("full"), F.struct("place", "level"))).over(everyone)["level"]
     return levelled.withColumn("target", F.least(F.col("weight") * F.coalesce(level, F.lit(0.0)), "limit")).select("source", "source_size", "n", "target")
 
 
