@@ -199,8 +199,12 @@ def n_ids(ids_column: str = "ids"):
 
 def ids_array(df: DataFrame, ids_column: str = "ids") -> DataFrame:
     """Replaces packed ids by an array of integers."""
-    hexed = F.hex(ids_column)
-    at = lambda i, k: F.substring(hexed, i * 8 + k * 2 + 1, F.lit(2))
-    number = lambda i: F.conv(F.concat(at(i, 3), at(i, 2), at(i, 1), at(i, 0)), 16, 10).cast("bigint")
-    n = n_ids(ids_column).cast("int")
-    return df.withColumn(ids_column, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(F.array().cast("array<bigint>")))
+    rows = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns if c != ids_column)).alias("row"), F.col(ids_column).alias("given"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in batch.column("given").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.list_(pa.int64()))], ["row", "made"])
+
+    made = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, made array<bigint>")
+    return made.select("row.*", F.col("made").alias(ids_column))
