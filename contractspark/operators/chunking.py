@@ -30,8 +30,8 @@ def chunk_pages(
 ) -> DataFrame:
     """``doc_id, chunk_no`` (from 1), ``chunk_text`` for pages ``doc_id, page_no, text``.
 
-    Page numbers must be unique within a document. Runs one small job to see whether there are
-    documents beyond one block.
+    Pages without a number come first; pages of one number are ordered by tokens and then text. Runs one
+    small job to see whether there are documents beyond one block.
     """
     body = F.concat(F.coalesce("text", F.lit("")), F.lit(PAGE_BREAK))
     short, deep = split_by_depth(pages, block_pages)
@@ -39,7 +39,7 @@ def chunk_pages(
     if deep is None:
         return chunks
     measured = deep.pages.select(
-        "doc_id", page_block(block_pages).alias("block"), "page_no", body.alias("body")
+        "doc_id", page_block(block_pages, deep.first_block).alias("block"), "page_no", body.alias("body")
     ).withColumn("tokens", counter(F.col("body")))
     blocks = (deep.first_block, deep.last_block)
     return chunks.unionByName(_chunk_blocks(measured, budget, blocks, max(fan_in, 2)))
@@ -93,7 +93,7 @@ def _advance(state: np.ndarray, tokens: int, budget: int) -> tuple[np.ndarray, n
 def _block_table(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     state = np.arange(budget + 3)
     closed = np.zeros(budget + 3, dtype=np.int64)
-    for tokens in pdf.sort_values("page_no")["tokens"]:
+    for tokens in pdf.sort_values(["page_no", "tokens"], na_position="first")["tokens"]:
         state, closes = _advance(state, int(tokens), budget)
         closed += closes
     head = pdf[["doc_id", "block"]].iloc[:1].reset_index(drop=True)
@@ -145,7 +145,7 @@ def _block_entries(tables: DataFrame, budget: int, blocks: tuple[int, int], fan_
 
 
 def _assign(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    ordered = pdf.sort_values("page_no")
+    ordered = pdf.sort_values(["page_no", "tokens", "body"], na_position="first")
     state = np.array([ordered["entry_state"].iloc[0]])
     chunk = int(ordered["entry_closed"].iloc[0]) + 1
     numbers = []
@@ -153,7 +153,7 @@ def _assign(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
         state, closes = _advance(state, int(tokens), budget)
         chunk += int(closes[0])
         numbers.append(chunk)
-    return ordered[["doc_id", "page_no", "body", "last_page"]].assign(chunk_no=numbers)
+    return ordered[["doc_id", "page_no", "tokens", "body", "last_page"]].assign(chunk_no=numbers)
 
 
 def _chunk_blocks(pages: DataFrame, budget: int, blocks: tuple[int, int], fan_in: int) -> DataFrame:
@@ -166,15 +166,15 @@ def _chunk_blocks(pages: DataFrame, budget: int, blocks: tuple[int, int], fan_in
         .groupBy("doc_id", "block")
         .applyInPandas(
             lambda pdf: _assign(pdf, budget),
-            "doc_id bigint, page_no bigint, body string, last_page bigint, chunk_no bigint",
+            "doc_id bigint, page_no bigint, tokens bigint, body string, last_page bigint, chunk_no bigint",
         )
     )
-    text = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "body"))), lambda p: p["body"])
+    text = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "tokens", "body"))), lambda p: p["body"])
     return (
         assigned.groupBy("doc_id", "chunk_no")
         .agg(
             strip(F.array_join(text, "")).alias("chunk_text"),
-            (F.max("page_no") == F.max("last_page")).alias("_last"),
+            F.coalesce(F.max("page_no") == F.max("last_page"), F.lit(False)).alias("_last"),
         )
         .where((F.col("chunk_text") != "") | ~F.col("_last"))
         .drop("_last")

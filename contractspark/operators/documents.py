@@ -26,7 +26,7 @@ def doc_text(pages: DataFrame, limit: int = DEMO_TEXT_CHARS, block_pages: int =
     short, deep = split_by_depth(pages, block_pages)
     parts = short.select("doc_id", "page_no", piece.alias("piece"))
     if deep is not None:
-        cut = deep.pages.select("doc_id", "page_no", page_block(block_pages).alias("block"), piece.alias("piece"))
+        cut = deep.pages.select("doc_id", "page_no", page_block(block_pages, deep.first_block).alias("block"), piece.alias("piece"))
         sizes = cut.groupBy("doc_id", "block").agg(F.sum(F.length("piece")).alias("chars"))
         before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         needed = sizes.withColumn("_before", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(

@@ -176,5 +176,8 @@ def eval_metrics(scored: DataFrame) -> DataFrame:
 
 
 def doc_type_counts(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """``doc_type, n``: a row for every type, also for one without examples."""
     kind = document_type(F.coalesce(first_of_role(F.col("messages"), "user"), F.lit("")), rules)
-    return examples.groupBy(kind.alias("doc_type")).agg(F.count("*").alias("n"))
+    typed = examples.select(kind.alias("doc_type"))
+    counts = typed.agg(*[F.count_if(F.col("doc_type") == t).alias(t) for t in DOC_TYPES])
+    return counts.unpivot([], list(DOC_TYPES), "doc_type", "n")

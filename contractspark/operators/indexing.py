@@ -9,12 +9,12 @@ _BITS = 20
 
 
 def dense_index(df: DataFrame, id_column: str, index: str) -> DataFrame:
-    """Adds the 0-based rank of a unique bigint id over the whole table.
+    """Adds the 0-based rank of a bigint id over the whole table; rows without an id come last.
 
     The id is read as digits of 20 bits: rows are ranked inside their block (ids that agree but for
     the last 20 bits, at most 2^20 rows), blocks inside their super-block, and the at most 2^24
     super-blocks once; the offsets above a row are added up. Every window group is therefore bounded,
-    whatever the number of rows.
+    whatever the number of rows, as long as ids are unique.
     """
     block, upper = F.shiftright(F.col(id_column), _BITS), F.shiftright(F.col("_block"), _BITS)
     blocks = (
@@ -25,17 +25,17 @@ def dense_index(df: DataFrame, id_column: str, index: str) -> DataFrame:
     def before(window):
         return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    top = uppers.select("_upper", before(Window.orderBy("_upper")).alias("_upper_start"))
+    top = uppers.select("_upper", before(Window.orderBy(F.col("_upper").asc_nulls_last())).alias("_upper_start"))
     starts = (
         blocks.withColumn("_in_upper", before(Window.partitionBy("_upper").orderBy("_block")))
-        .join(top, "_upper")
-        .select("_block", (F.col("_upper_start") + F.col("_in_upper")).alias("_start"))
+        .join(top.withColumnRenamed("_upper", "_top"), F.col("_upper").eqNullSafe(F.col("_top")))
+        .select(F.col("_block").alias("_start_block"), (F.col("_upper_start") + F.col("_in_upper")).alias("_start"))
     )
     in_block = F.row_number().over(Window.partitionBy("_block").orderBy(id_column))
     return (
         df.withColumn("_block", block)
         .withColumn("_rank", in_block)
-        .join(starts, "_block")
+        .join(starts, F.col("_block").eqNullSafe(F.col("_start_block")))
         .withColumn(index, F.col("_start") + F.col("_rank") - 1)
-        .drop("_block", "_rank", "_start")
+        .drop("_block", "_start_block", "_rank", "_start")
     )

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import as_text, elements, first_object, is_list, is_string
 from ..rules import NOT_SPECIFIED, SCALAR_FIELDS
 
-_POSITIONS = 1 << 20  # positions inside one chunk's party list
-
 
 def _facts(label: Column) -> Column:
     """array<struct(field, pos, value)> of one parsed chunk, without the "Not Specified" ones.
@@ -47,7 +45,7 @@ def merge_chunks(outputs: DataFrame, text: str = "output_text") -> DataFrame:
         parsed.select("doc_id", "chunk_no", F.explode_outer(_facts(F.col("label"))).alias("fact"))
         .select(
             "doc_id", F.col("fact.field"), F.col("fact.value"),
-            (F.col("chunk_no").cast("bigint") * _POSITIONS + F.coalesce("fact.pos", F.lit(0))).alias("seen"),
+            F.struct("chunk_no", F.coalesce("fact.pos", F.lit(0)).alias("pos")).alias("seen"),
         )
         .groupBy("doc_id", "field", "value")
         .agg(F.min("seen").alias("seen"))

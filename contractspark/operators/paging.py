@@ -17,12 +17,13 @@ class DeepPages(NamedTuple):
     last_block: int
 
 
-def page_block(block_pages: int) -> Column:
-    return F.floor(F.col("page_no") / block_pages)
+def page_block(block_pages: int, of_null: int | None = None) -> Column:
+    """Block of a page; pages without a number, which come before all others, are in block ``of_null``."""
+    return F.coalesce(F.floor(F.col("page_no") / block_pages), F.lit(of_null).cast("bigint"))
 
 
 def split_by_depth(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> tuple[DataFrame, DeepPages | None]:
-    """(pages of documents whose page numbers all lie in [0, block_pages), pages of all others).
+    """(pages of documents whose page numbers all lie in [0, block_pages) or are null, pages of all others).
 
     The second part is None when there are no such documents. One job counts the documents with a page
     number outside the first block; it reads two columns, and the filter reaches the Parquet row-group
@@ -38,5 +39,5 @@ def split_by_depth(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> tuple[Da
     ids = found.select("doc_id")
     if docs <= BROADCAST_DOCS:
         ids = F.broadcast(ids)
-    deep = DeepPages(pages.join(ids, "doc_id", "left_semi"), min(low, 0), high)
+    deep = DeepPages(pages.join(ids, "doc_id", "left_semi"), min(low, 0) - 1, high)
     return pages.join(ids, "doc_id", "left_anti"), deep

@@ -20,7 +20,7 @@ def _cutoff(df: DataFrame, fraction: float, seed: int, id_column: str) -> DataFr
     A histogram over the leading digest characters finds the bucket in which the wanted count is
     reached; only that bucket (1/65,536 of the ids) is ranked. Both passes read the id column alone.
     """
-    digests = df.select(_digest(id_column, seed).alias("digest"))
+    digests = df.where(F.col(id_column).isNotNull()).select(_digest(id_column, seed).alias("digest"))
     histogram = digests.groupBy(F.substring("digest", 1, _BUCKET_CHARS).alias("bucket")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("bucket"))
     total = F.sum("n").over(Window.partitionBy())
@@ -39,11 +39,12 @@ def _cutoff(df: DataFrame, fraction: float, seed: int, id_column: str) -> DataFr
 def split_train_eval(
     df: DataFrame, fraction: float = EVAL_FRACTION, seed: int = SPLIT_SEED, id_column: str = "example_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, eval): eval holds exactly max(1, floor(n * fraction)) rows, train all others.
+    """(train, eval): eval holds exactly max(1, floor(n * fraction)) of the n rows with an id, train all others.
 
     Membership is a comparison of each id's digest with one cut-off value, so the rows themselves are
-    neither sorted nor shuffled and the two parts cannot overlap. ``id_column`` must be unique.
+    neither sorted nor shuffled; every row is in exactly one part. Rows without an id are in train, rows
+    of one id are in the same part, so the size is exact where ids are unique.
     """
     cut = _cutoff(df, fraction, seed, id_column).scalar()
-    in_eval = _digest(id_column, seed) <= cut
+    in_eval = F.coalesce(_digest(id_column, seed) <= cut, F.lit(False))
     return df.where(~in_eval), df.where(in_eval)

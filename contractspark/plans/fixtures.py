@@ -194,13 +194,8 @@ def sql_prefix(*views: str) -> str:
 
 
 def _scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A driver table, spread over the session's cores when its file gives fewer splits than that.
-
-    The small test files hold one row group each; data with enough splits is left as it lies.
-    """
-    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """A driver table as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..functions.text import NOT_WORD_OR_SPACE, SPACE_RUN, WHITESPACE
 from ..rules import (
-    BOILERPLATE_PATTERNS, CLAUSE_PATTERNS, CONTRACT_TYPES, FIELDS, FILING_MARKERS, HEADER_END, HEADER_START,
+    BOILERPLATE_PATTERNS, CLAUSE_PATTERNS, CONTRACT_TYPES, DOC_TYPES, FIELDS, FILING_MARKERS, HEADER_END, HEADER_START,
     PARTY_LABELS, PROMPT_HEAD, PROMPT_TAIL, SCALAR_FIELDS, SERVING_SYSTEM, SUSPICIOUS_DATE_WORDS,
     SUSPICIOUS_PARTY_WORDS, TURN_END, candidate_json_schema,
 )
@@ -361,8 +361,8 @@ ORACLES: dict[str, str] = {
     "truncate_context": "SELECT doc_id, CASE WHEN length(text) > 3500 THEN left(text, 3500) || '...' ELSE text END AS context, left(text, 3000) AS demo_text FROM documents",
     "route_questions": QA + " SELECT * FROM routed",
     "qa_to_contracts": CONTRACTS + " SELECT * FROM contracts",
-    "mix_datasets": CONTRACTS.replace(sql_prefix("fx_qa"), sql_prefix("fx_qa", "fx_examples")) + f""" SELECT 'synthetic' AS source, example_id, 3 AS n_messages, user_text, CASE WHEN json_valid(assistant_text) THEN json_extract_string(assistant_text, '$.effective_date') END AS effective_date FROM fx_examples
-      UNION ALL SELECT 'real', row_id, 3, context, effective_date FROM contracts""",
+    "mix_datasets": CONTRACTS.replace(sql_prefix("fx_qa"), sql_prefix("fx_qa", "fx_examples")) + f""" SELECT 'synthetic' AS source, example_id * 2 AS example_id, 3 AS n_messages, user_text, CASE WHEN json_valid(assistant_text) THEN json_extract_string(assistant_text, '$.effective_date') END AS effective_date FROM fx_examples
+      UNION ALL SELECT 'real', row_id * 2 + 1, 3, context, effective_date FROM contracts""",
     "build_examples": EX + " SELECT example_id, 0 AS pos, 'system' AS role, system_text AS content FROM fx_examples UNION ALL SELECT example_id, 1, 'user', user_text FROM fx_examples UNION ALL SELECT example_id, 2, 'assistant', assistant_text FROM fx_examples",
     "role_select": VARIED + f" SELECT example_id, found_at AS assistant_index, user_text, first_answer AS assistant_text, {py_text(valid_json('first_answer'), D)} AS effective_date FROM msgs",
     "prompt_messages": EX + " SELECT example_id, 0 AS pos, 'system' AS role, system_text AS content FROM fx_examples UNION ALL SELECT example_id, 1, 'user', user_text FROM fx_examples",
@@ -370,7 +370,7 @@ ORACLES: dict[str, str] = {
     "render_prompt": sql_prefix("fx_pages") + f" SELECT doc_id, page_no, {PROMPT.format('text')} AS prompt FROM fx_pages",
     "render_training": EX + f" SELECT example_id, {TRAINING} AS training_text FROM fx_examples",
     "doc_type": EX + f" SELECT example_id, {FILING} AS doc_type FROM fx_examples",
-    "doc_type_counts": EX + f" SELECT {FILING} AS doc_type, count(*) AS n FROM fx_examples GROUP BY ALL",
+    "doc_type_counts": EX + f" SELECT t.doc_type, count(e.doc_type) AS n FROM (VALUES {', '.join(f'({lit(t)})' for t in DOC_TYPES)}) AS t(doc_type) LEFT JOIN (SELECT {FILING} AS doc_type FROM fx_examples) AS e ON t.doc_type = e.doc_type GROUP BY ALL",
     "flag_dates": LAB + f" SELECT example_id, {any_in(f'lower({D})', SUSPICIOUS_DATE_WORDS)} AS flagged FROM truth",
     "flag_truth": LAB + f" SELECT example_id, concat_ws('|', CASE WHEN {any_in(norm(D), SUSPICIOUS_DATE_WORDS)} THEN 'effective_date' END, CASE WHEN {any_in(f'lower({P})', SUSPICIOUS_PARTY_WORDS)} THEN 'parties' END) AS flags FROM truth",
     "stringify": LAB + f" SELECT example_id, {', '.join(FIELDS)} FROM truth",

@@ -23,35 +23,55 @@ def spaced_tokens(text):
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("bigint")
 
 
-def greedy_chunks(pages, budget):
-    chunks, text, open_tokens = [], "", 0
-    for page in pages:
-        body = page + "\n\n"
-        if open_tokens + body.count(" ") > budget and text:
-            chunks.append(text.strip())
-            text, open_tokens = "", 0
-        text += body
-        open_tokens += body.count(" ")
-    if text.strip():
-        chunks.append(text.strip())
-    return list(enumerate(chunks, 1))
+def page(blanks, mark="z"):
+    """A page of so many tokens."""
+    return "w " * blanks + mark
 
 
 @pytest.mark.parametrize("block_pages,fan_in", [(4096, 512), (4, 3), (2, 2)])
-def test_chunk_pages(spark, block_pages, fan_in):
-    chance = random.Random(3)
-    docs = {
-        1: ["a b c d e f g h i"], 2: ["a b", "c d", "e f", ""], 3: ["", " ", ""], 4: ["a b c d e f", "", "x y"],
-        5: ["w " * chance.choice([0, 0, 1, 2, 3, 5, 9]) + "z" for _ in range(61)],
-        6: [chance.choice(["", "a b", "a b c d e f g", " "]) for _ in range(33)],
-    }
-    rows = [(d, p, t) for d, pages in docs.items() for p, t in enumerate(pages)]
+def test_chunk_pages_finds_the_chunks_that_were_cut(spark, block_pages, fan_in):
+    """Chosen chunks that fill the budget, or hold one page beyond it, are cut into pages and must come back."""
+    chance, budget, rows, want = random.Random(3), 7, [], set()
+    for doc in range(12):
+        chunks = []
+        for _ in range(chance.randint(1, 12)):
+            if chance.random() < 0.2:
+                chunks.append([budget + chance.randint(1, 9)])
+            else:
+                cuts = sorted(chance.sample(range(1, budget), chance.randint(0, 4)))
+                chunks.append([b - a for a, b in zip([0, *cuts], [*cuts, budget])])
+        number = 0
+        for n, sizes in enumerate(chunks, 1):
+            pages = [page(k, f"z{doc}.{number + i}") for i, k in enumerate(sizes)]
+            rows += [(doc, number + i, p) for i, p in enumerate(pages)]
+            number += len(sizes)
+            want.add((doc, n, "\n\n".join(pages)))
     chance.shuffle(rows)
     df = spark.createDataFrame(rows, schemas.PAGE).repartition(3)
-    for budget in (0, 4, 7):
-        got = chunking.chunk_pages(df, budget, spaced_tokens, block_pages, fan_in).collect()
-        want = {(d, n, t) for d, pages in docs.items() for n, t in greedy_chunks(pages, budget)}
-        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    got = chunking.chunk_pages(df, budget, spaced_tokens, block_pages, fan_in).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("block_pages,fan_in", [(4096, 512), (2, 2)])
+def test_chunk_pages_literal_cases(spark, block_pages, fan_in):
+    docs = {1: ["a b c d e f g h i"], 2: ["a b", "c d", "e f", ""], 3: ["", " ", ""], 4: ["a b c d e f", "", "x y"]}
+    df = spark.createDataFrame([(d, p, t) for d, ps in docs.items() for p, t in enumerate(ps)], schemas.PAGE)
+    got = {tuple(r) for r in chunking.chunk_pages(df, 4, spaced_tokens, block_pages, fan_in).collect()}
+    assert got == {(1, 1, "a b c d e f g h i"), (2, 1, "a b\n\nc d\n\ne f"), (4, 1, "a b c d e f"), (4, 2, "x y")}
+
+
+def test_odd_page_numbers_give_one_result_either_way(spark):
+    numbers = [None, -5, 0, 2, 3, 9, 1000, None]
+    rows = [(d, n, page(1 + i, f"p{i}")) for d in (1, 2) for i, n in enumerate(numbers)] + [(3, None, "only"), (4, 1, None)]
+    df = spark.createDataFrame(rows, schemas.PAGE).repartition(3)
+    shapes = [
+        (sorted(map(tuple, chunking.chunk_pages(df, 6, spaced_tokens, b, 2).collect())), sorted(map(tuple, documents.doc_text(df, 60, b).select("doc_id", "text").collect())))
+        for b in (2, 5, 4096)
+    ]
+    assert shapes[0] == shapes[1] == shapes[2]
+    words = " ".join(t for d, _, t in shapes[0][0] if d == 1)
+    assert [words.index(f"p{i}") for i in (0, 7, 1, 2, 3, 4, 5, 6)] == sorted(words.index(f"p{i}") for i in range(8))
+    assert (3, 1, "only") in shapes[0][0]
 
 
 @pytest.mark.parametrize("block_pages", [4096, 3])
@@ -62,67 +82,54 @@ def test_doc_text(spark, block_pages):
     assert got == {d: "".join((t or "") + "\n" for t in ps)[:12] for d, ps in docs.items()}
 
 
-def grouped_contracts(rows, limit):
-    groups = {}
-    for _, context, question, answers in rows:
-        key = context[:limit] + "..." if len(context) > limit else context
-        g = groups.setdefault(key, {"parties": [], "effective_date": N, "liability_cap": N, "termination_conditions": N})
-        answer = answers[0].strip() if answers else N
-        route = next((f for w, f in (("parties", "parties"), ("effective date", "effective_date"), ("liability cap", "liability_cap"), ("terminate", "termination_conditions")) if w in question.lower()), None)
-        if answer != N and route == "parties" and answer not in g["parties"]:
-            g["parties"].append(answer)
-        elif answer != N and route not in (None, "parties"):
-            g[route] = answer
-    return {k: ("|".join(g["parties"] or [N]), *list(g.values())[1:]) for k, g in groups.items() if g["parties"] or g["effective_date"] != N}
-
-
-def test_qa_to_contracts_with_one_hot_contract(spark):
-    chance = random.Random(5)
-    questions = ["Parties?", "the EFFECTIVE DATE", "Liability cap and parties", "may terminate", "liability cap", "other"]
-    rows = []
-    for i in range(600):
-        context = "hot contract text" if i % 3 == 0 else f"contract text number {chance.randint(0, 30)}" + "x" * chance.randint(0, 9)
-        answers = chance.choice([[], [N], [f" A{chance.randint(0, 9)} ", "zz"], [""], [f"B{i}"]])
-        rows.append((i, context, chance.choice(questions), answers))
-    shuffled = rows[:]
-    chance.shuffle(shuffled)
-    df = spark.createDataFrame([(i, c, q, (a,)) for i, c, q, a in shuffled], schemas.QA_ROW).repartition(5)
-    for limit in (3500, 24):
-        got = qa.qa_to_contracts(df, limit).collect()
-        assert {r.context: ("|".join(r.parties), r.effective_date, r.liability_cap, r.termination_conditions) for r in got} == grouped_contracts(rows, limit)
-
-
-def merged(chunks):
-    record = {"parties": [], "effective_date": N, "liability_cap": N, "termination_conditions": N}
-    for result in chunks:
-        for p in result.get("parties", []):
-            if p not in record["parties"] and p != N:
-                record["parties"].append(p)
-        for key in list(record)[1:]:
-            value = result.get(key, N)
-            if record[key] == N and value != N:
-                record[key] = value
-    return record
-
-
-def test_merge_chunks_with_one_hot_document(spark):
-    chance = random.Random(9)
-    docs = {}
-    for i in range(500):
-        doc = 0 if i % 3 == 0 else chance.randint(1, 40)
-        result = {}
-        if chance.random() < 0.8:
-            result["parties"] = [chance.choice([N, "A", "B", f"P{chance.randint(0, 30)}", None]) for _ in range(chance.randint(0, 4))]
-        for key in ("effective_date", "liability_cap", "termination_conditions"):
-            if chance.random() < 0.4:
-                result[key] = chance.choice([N, "", None, f"v{i}"])
-        docs.setdefault(doc, []).append(result)
-    rows = [(d, n, "so " + json.dumps(r) + " end") for d, rs in docs.items() for n, r in enumerate(rs)] + [(99, 1, "nothing")]
+def test_qa_to_contracts_gathers_what_was_scattered(spark):
+    """Chosen contracts, one of them hot, are scattered over rows in order; later answers to a question win."""
+    chance, rows, want = random.Random(5), [], {}
+    ask = {"effective_date": "the EFFECTIVE DATE", "liability_cap": "liability cap", "termination_conditions": "may terminate"}
+    for c in range(25):
+        context = f"contract text number {c:03d} " + "x" * (c % 9)
+        names = [f"A{c}.{i}" for i in range(chance.randint(0, 4))]
+        last = {f: chance.choice([N, f"{f} {c}"]) for f in ask}
+        said = [("Parties?", f" {n} ") for n in names] + [("other", f"noise {c}"), ("Parties?", None)]
+        for field, value in last.items():
+            if value != N:
+                said += [(ask[field], "an earlier answer"), (ask[field], f"{value}\n")]
+            said.append((ask[field], chance.choice([None, N])))
+        said += [("Parties?", n) for n in names[:1]] * (300 if c == 8 else 1)
+        rows += [(len(rows) + i, context, q, [] if a is None else [a, "zz"]) for i, (q, a) in enumerate(said)]
+        if names or last["effective_date"] != N:
+            want[context] = ("|".join(names or [N]), *last.values())
+    chance.shuffle(rows)
+    df = spark.createDataFrame([(i, c, q, (a,)) for i, c, q, a in rows], schemas.QA_ROW).repartition(5)
+    got = qa.qa_to_contracts(df, 3500).collect()
+    assert {r.context: ("|".join(r.parties), r.effective_date, r.liability_cap, r.termination_conditions) for r in got} == want
+    cut = qa.qa_to_contracts(df, 20).collect()  # all contexts agree so far, but for the number
+    assert {r.context for r in cut} <= {"contract text number..."} and len(cut) == 1
+
+
+def test_merge_chunks_gathers_what_was_scattered(spark):
+    """Chosen records are spread over chunks, with defaults, repeats and junk between; one document is hot."""
+    chance, rows, want = random.Random(9), [], {}
+    for doc in range(40):
+        names = [f"P{doc}.{i}" for i in range(chance.randint(0, 5))]
+        record = {k: chance.choice([N, None, "", f"{k} {doc}"]) for k in ("effective_date", "liability_cap", "termination_conditions")}
+        chunks = [{"parties": [n, N]} for n in names] + [{"parties": [n]} for n in names[:1]] * (400 if doc == 0 else 2)
+        for key, value in record.items():
+            if value != N:
+                chunks.append({key: value})
+                chunks += [{key: "a later value"}, {key: N}]
+        texts = ["so " + json.dumps(c) + " end" for c in [{}, *chunks]] + ["nothing"]
+        rows += [(doc, n, t) for n, t in enumerate(texts)]
+        want[doc] = {"parties": names, **record}
     chance.shuffle(rows)
     got = merging.merge_chunks(spark.createDataFrame(rows, schemas.CHUNK_OUTPUT).repartition(4)).collect()
-    want = {d: merged(rs) for d, rs in docs.items()} | {99: merged([])}
-    # a null is itself replaced by nothing: the first value that is not the default stays
-    assert {r.doc_id: {k: r[k] for k in list(want[99])} for r in got} == want
+    assert {r.doc_id: {k: r[k] for k in want[0]} for r in got} == want
+
+
+def test_merge_keeps_order_beyond_any_position(spark):
+    long = json.dumps({"parties": [f"p{i}" for i in range(3)]})
+    rows = [(1, 2**50, long), (1, 2**50 + 1, json.dumps({"parties": ["q", "p1"]}))]
+    assert merging.merge_chunks(spark.createDataFrame(rows, schemas.CHUNK_OUTPUT)).first().parties == ["p0", "p1", "p2", "q"]
 
 
 @pytest.mark.parametrize("ids", [range(50), [2**40 + 5, 3, 2**21, 2**21 + 1, 0, 2**62], [-5, 7, -(2**45), 2**20, 2**20 - 1]])
@@ -217,23 +224,55 @@ def test_extract_hook_isolates_failing_rows(spark):
     assert {r.id: r.output_text for r in extract(df, load).collect()} == {1: "2", 2: None, 3: "1"}
 
 
-def carve(body):
-    start = body.find(b"%PDF-")
-    if start < 0:
-        return None
-    end = body.rfind(b"%%EOF")
-    return body[start:end + 5] if end >= 0 else body[start:]
-
-
 def test_carve_payload_bytes(spark):
-    bodies = [b"\x00\xff%PDF-1\x80\xfe%%EOF\xff", b"%PDF-", b"none", b"%%EOF %PDF-x", b"%PDF-a%%EOF%%EOFz", b"%PDF-\n\xe9 open", b""]
+    """Chosen payloads wrapped in noise, plain and in base64."""
+    whole = [b"%PDF-1\x80\xfe%%EOF", b"%PDF-a%%EOF%%EOF", b"%PDF-\n\xe9 open", b"%PDF-"]
+    want = dict(enumerate([*whole, *whole[:2], None, None, b""]))
+    bodies = [*whole, b"\x00\xff" + whole[0] + b"\xff", b"head" + whole[1] + b"z", b"none", b"", b"%%EOF %PDF-x"]
     df = spark.createDataFrame([(i, bytearray(b), False) for i, b in enumerate(bodies)], "i int, body binary, is_base64 boolean")
     both = df.unionByName(df.select((F.col("i") + 100).alias("i"), F.base64("body").cast("binary").alias("body"), F.lit(True).alias("is_base64")))
-    got = {r.i: r.payload and bytes(r.payload) if r.payload is not None else None for r in payload.carve_payload(both).collect()}
-    want = {i: carve(b) for i, b in enumerate(bodies)}
+    got = {r.i: None if r.payload is None else bytes(r.payload) for r in payload.carve_payload(both).collect()}
     assert got == want | {i + 100: v for i, v in want.items()}
 
 
+def test_files_without_ids_lose_no_rows(spark, tmp_path):
+    """The layout of one ``messages`` per line, with other keys beside it and without ids."""
+    lines = [
+        {"messages": [{"role": "user", "content": f"u{i}"}, {"role": "assistant", "content": json.dumps({"parties": ["We shall pay", f"B{i}"]})}], "note": {"k": i}}
+        for i in range(40)
+    ]
+    (tmp_path / "in").mkdir()
+    for part in range(2):
+        (tmp_path / "in" / f"{part}.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines[part::2]), encoding="utf-8")
+    examples = tables.read_examples(spark, str(tmp_path / "in"))
+    ids = [r.example_id for r in examples.collect()]
+    assert len(set(ids)) == 40 and None not in ids
+    train, held_out = split.split_train_eval(examples, 0.15, 42)
+    assert (train.count(), held_out.count()) == (34, 6)
+    tables.write_cleaned(tables.read_open_examples(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "report"))
+    written = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(w["note"]["k"] for w in written) == list(range(40)) and {frozenset(w) for w in written} == {frozenset({"messages", "note"})}
+    assert "We shall pay" not in json.dumps(written)
+    report = spark.read.json(str(tmp_path / "report")).collect()
+    assert sorted(r.example_index for r in report) == list(range(40))
+
+
+def test_null_and_repeated_ids_are_kept(spark):
+    df = spark.createDataFrame([(i,) for i in [None, 1, 2, 3, None, 3, 4, 5, 6, 7]], "example_id bigint")
+    train, held_out = split.split_train_eval(df, 0.3, 1)
+    assert train.count() + held_out.count() == 10 and held_out.where("example_id IS NULL").count() == 0
+    got = indexing.dense_index(df, "example_id", "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(10)) and [r.example_id for r in got] == [1, 2, 3, 3, 4, 5, 6, 7, None, None]
+
+
+def test_mixed_ids_are_unique_and_types_are_all_counted(spark):
+    rows = lambda: spark.createDataFrame([(i,) for i in range(5)], "example_id bigint").select("example_id", chat(F.lit("u"), F.lit("{}")).alias("messages"))
+    mixed = qa.mix_datasets(rows(), rows()).collect()
+    assert len({r.example_id for r in mixed}) == 10 and {(r.source, r.source_id) for r in mixed} == {(s, i) for s in ("synthetic", "real") for i in range(5)}
+    counts = {r.doc_type: r.n for r in evaluation.doc_type_counts(rows()).collect()}
+    assert sorted(counts.values()) == [0, 5] and {r.n for r in evaluation.doc_type_counts(rows().limit(0)).collect()} == {0}
+
+
 def test_jsonl_bad_lines(spark, tmp_path):
     good = json.dumps({"example_id": 1, "messages": [{"role": "user", "content": "ü"}], "note": {"k": 1}})
     (tmp_path / "a.jsonl").write_text(f"{good}\n\n  \nnot json\n", encoding="utf-8")
@@ -243,7 +282,7 @@ def test_jsonl_bad_lines(spark, tmp_path):
         tables.read_examples(spark, str(tmp_path)).collect()
     (tmp_path / "a.jsonl").write_text(good + "\n", encoding="utf-8")
     kept = tables.read_open_examples(spark, str(tmp_path)).first()
-    assert kept.messages[0].content == "ü" and set(kept.fields) == {"example_id", "messages", "note"}
+    assert kept.messages[0].content == "ü" and set(kept.fields) == {"example_id", "note"} and kept.example_id == 1
 
 
 def test_row_ids_follow_file_order(spark, tmp_path):
