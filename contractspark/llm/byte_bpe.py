@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -23,6 +23,8 @@ PLACE = (1 << 40) - 1
 ONE = struct.Struct("<I").pack
 #: Fixed value: the pattern for which ``encode`` knows that a lone space can only begin a pre-token.
 SPACES_LEAD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space that doesn't lead a word.
+SPACE_RUN = regex.compile(r" (?:\s|$)")
 _MIX, _SPREAD, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
@@ -86,12 +88,24 @@ class BytePairs:
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
-        self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.spaces_lead = pattern == SPACES_LEAD
-        self.packed = Memo(self._packed, 100_000)
-        self.after_space = Memo(lambda part: self._pieces(" " + part), 200_000)
+        self.packed = Memo(self._packed, 50_000)
+        self.after_space = Memo(self._after_space, 300_000)
+
+    @cached_property
+    def whole(self) -> PerfectHash:
+        """Only encoders need it, and the two tables of ids by one byte and by two."""
+        return PerfectHash(list(self.ranks), list(self.ranks.values()))
+
+    @cached_property
+    def letters(self) -> list[int]:
+        return [self.ranks[bytes([a])] for a in range(256)]
+
+    @cached_property
+    def pairs(self) -> list[int]:
+        return [self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
 
     def _packed(self, piece: str) -> bytes:
         """A pre-token's ids as little-endian unsigned 32-bit integers."""
@@ -101,17 +115,20 @@ class BytePairs:
 
     def merged(self, raw: bytes) -> list[int]:
         """Ids of the parts after merging the adjacent pair of lowest rank, leftmost first, until none is left."""
-        find, n = self.ranks.get, len(raw)
+        find, pairs, n = self.ranks.get, self.pairs, len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        #: The rank of the pair that begins at each place; an entry of the heap that differs is out of date.
-        ranks = [find(raw[i : i + 2], -1) for i in range(n - 1)]
+        #: The id of the part that begins at each place, and the rank of its pair with the next part; an entry
+        #: of the heap that differs from the latter is out of date.
+        ids = [self.letters[b] for b in raw]
+        ranks = [pairs[a << 8 | b] for a, b in zip(raw, raw[1:])]
         heap = [r << 40 | i for i, r in enumerate(ranks) if r >= 0]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i = top & PLACE
-            if ranks[i] != top >> 40:
+            i, r = top & PLACE, top >> 40
+            if ranks[i] != r:
                 continue
+            ids[i] = r
             j = after[i]
             k = after[i] = after[j]
             if k < n:
@@ -127,11 +144,18 @@ class BytePairs:
                 r = ranks[h] = find(raw[h:k], -1)
                 if r >= 0:
                     heappush(heap, r << 40 | h)
-        ids, i = [], 0
+        left, i = [], 0
         while i < n:
-            ids.append(self.ranks[raw[i : after[i]]])
+            left.append(ids[i])
             i = after[i]
-        return ids
+        return left
+
+    def _after_space(self, part: str) -> bytes:
+        """The ids of a part and the space before it; a part of several pre-tokens shares the memo of its first."""
+        first, *rest = self.pattern.findall(" " + part)
+        if not rest:
+            return self._packed(first)
+        return self.after_space[first[1:]] + b"".join(map(self.packed.__getitem__, rest))
 
     def _pieces(self, text: str) -> bytes:
         if len(text) < LONG_TEXT:
@@ -141,10 +165,11 @@ class BytePairs:
     def encode(self, text: str) -> bytes:
         """Packed ids.
 
-        Where the pattern lets a space only begin a pre-token, and spaces stand alone, no pre-token reaches
-        over the place before a space, so the parts between spaces are encoded (and remembered) by themselves.
+        Where the pattern lets a space before anything but white space only begin a pre-token, and no other
+        spaces occur, no pre-token reaches over the place before a space, so the parts between spaces are
+        encoded (and remembered) by themselves.
         """
-        if not self.spaces_lead or "  " in text or text.endswith(" ") or len(text) >= LONG_TEXT:
+        if not self.spaces_lead or SPACE_RUN.search(text) or len(text) >= LONG_TEXT:
             return self._pieces(text)
         first, *rest = text.split(" ")
         return self._pieces(first) + b"".join(map(self.after_space.__getitem__, rest))

@@ -57,6 +57,16 @@ def test_byte_pairs_equal_the_library_and_round_trip(pairs, strange):
         assert pairs.decode(ids) == t.encode()
 
 
+def test_byte_pairs_at_mixed_white_space(pairs):
+    """Spaces beside other white space belong to its run; parts between single spaces are remembered apart."""
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pairs.ranks, special_tokens={})
+    draw = random.Random(11)
+    marks = [" ", "\n", "\t", "\xa0", "\u3000", "\x1c", "a", "word", "'s", "1", "\u00e9", ",", "'"]
+    texts = ["\n\t1 \xa0 \xa0\u30001word", "a\n \nb", "x \n \n y", " a", "a ", " \n", "word word, word,'s"]
+    for text in texts + ["".join(draw.choice(marks) for _ in range(draw.randrange(14))) for _ in range(5000)]:
+        assert np.frombuffer(pairs.encode(text), "<u4").tolist() == library.encode_ordinary(text), text
+
+
 def test_op2_and_op8_on_a_table(spark, documents, pairs):
     library = Tokenizer.from_file(VOCABULARY)
     for r in QUERIES["op2_token_counts"](spark, SF).collect():
