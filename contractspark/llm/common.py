@@ -16,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Rows that a Python task handles at a time, so that long texts don't add up.
 ROWS = 512
+#: And bytes of them.
+BYTES = 8 << 20
+#: Letters of the longest text that a memo keeps, and the average that it allows for.
+LONG_KEY, LETTERS_A_KEY = 64, 16
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:
@@ -32,33 +36,41 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """All columns in one struct ``row``, so that the operator's own columns can't clash with them."""
-    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row")) if df.columns else df
-
-
-def unpacked(df: DataFrame) -> DataFrame:
-    return df.select("row.*")
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and, but for single longer rows, ``size`` bytes."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halves(batch.slice(at, rows), size)
+
+
+def _halves(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows < 2 or batch.nbytes <= size:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _halves(batch.slice(0, half), size)
+    yield from _halves(batch.slice(half), size)
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and keeps between ``limit`` and twice as many entries at most."""
+    """A dict that computes what it lacks; text keys, bounded in entries and in letters.
+
+    It holds at most twice ``limit`` keys and twice ``LETTERS_A_KEY * limit`` letters; keys longer than
+    ``LONG_KEY`` are computed anew each time.
+    """
 
     def __init__(self, compute: Callable, limit: int = 250_000):
-        self.compute, self.limit, self.older = compute, limit, {}
+        self.compute, self.limit, self.older, self.letters = compute, limit, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
+            if len(key) > LONG_KEY:
+                return value
+        if len(self) >= self.limit or self.letters > LETTERS_A_KEY * self.limit:
+            self.older, self.letters = dict(self), 0
             self.clear()
         self[key] = value
+        self.letters += len(key)
         return value

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language, licenses, mixing, pii, quality, simhash, token_counts, weighted_sampling
+from . import alignment, byte_bpe, chat, collocations, language, licenses, line_dedup, mixing, pii, quality, simhash, token_counts, weighted_sampling
 from .common import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,58 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(labels, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(documents(spark, sf_dir), *files).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    lines = docs.agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).first()[0] or 0
+    index = line_dedup.LineIndex.empty(spark, lines).insert(docs)
+    kept = line_dedup.drop_repeated_lines(docs, index)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH RECURSIVE texts AS (SELECT coalesce(lang, 'und') AS lang, doc_id,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, doc_id, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  FROM lists, range(1, 6) AS sizes(k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+found AS (SELECT * FROM counts WHERE f >= 100),
+cuts AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM found WHERE k > 1),
+scored AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, n,
+    (1000::HUGEINT * c.a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1 : size], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM found q WHERE q.lang = c.lang AND q.k > len(string_split(c.phrase, ' '))
+  AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * q.f >= 100 * c.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+ORACLES["op13_line_dedup"] = r"""
+WITH lines AS (SELECT doc_id, x AS line, i, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+  LATERAL (SELECT unnest(d.parts) AS x, generate_subscripts(d.parts, 1) AS i) u),
+often AS (SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.doc_id, l.i, l.line, o.last IS NOT NULL AND o.last <> l.doc_id AS lost FROM lines l LEFT JOIN often o ON o.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

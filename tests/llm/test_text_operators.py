@@ -188,7 +188,7 @@ def test_license_rules_and_overlaps(spark):
         "He came mit dem Zug; she has no permission.": set(),
         "Creative Commons Attribution-ShareAlike": {"cc-by-sa"},
     }
-    rows = licenses.scan_licenses(spark.createDataFrame(list(cases.items()), "text string, x array<string>").select("text")).collect()
+    rows = licenses.scan_licenses(spark.createDataFrame([(t,) for t in cases], "text string")).collect()
     assert {r.row.text: set(r.labels) for r in rows} == cases
     assert next(len(r.base_spans) for r in rows if r.row.text.startswith("mit license mit")) == 2
     assert len(licenses.rules()) > 300
