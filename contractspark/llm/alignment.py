@@ -16,24 +16,29 @@ import os
 import re
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import SPACES_LEAD
 from .common import slices, stage
 from .token_counts import byte_letters
 
 #: Pair-document records and documents of one run at most (one document's records stay together).
 RUN_RECORDS, RUN_DOCS = 1_000_000, 1 << 16
 #: Known parts of texts are forgotten beyond so many letters, and longer ones aren't remembered.
-MEMO_LETTERS, LONG_PART = 1_200_000, 64
+MEMO_LETTERS, LONG_PART = 2_000_000, 64
+#: Links in a group beyond which its ids are first counted.
+LARGE_GROUP = 1 << 12
+#: Texts that only the vocabulary's own library encodes.
+LONG_TEXT = 10_000
 #: Bytes of text for each radix part; 64 to 16,384 parts.
 PART_BYTES = 1 << 25
 #: A place where neither tokenizer's tokens reach across: before a space between two visible characters.
@@ -42,7 +47,10 @@ UNEVEN = re.compile(r"^ | (?:\s|$)")
 
 
 class Aligner:
-    """Aligns the tokens of a byte-level vocabulary (A, tokenizers) with those of a piece model (B, sentencepiece)."""
+    """Aligns the tokens of a byte-level vocabulary (A, tokenizers) with those of a piece model (B, sentencepiece).
+
+    Texts are cut where neither side's tokens reach across; a part is aligned once and remembered.
+    """
 
     def __init__(self, vocabulary: bytes, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
@@ -55,25 +63,36 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=model)
         letter = {c: b for b, c in enumerate(byte_letters())}
-        self.a_bytes = {i: bytes(letter[c] for c in t) for t, i in file["model"]["vocab"].items() if all(c in letter for c in t)}
+        vocab = file["model"]["vocab"]
+        a_bytes = {i: bytes(letter[c] for c in t) for t, i in vocab.items() if all(c in letter for c in t)}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        #: Parts of a text are aligned apart only where the vocabularies allow it.
-        self.parts = (
-            file["normalizer"] is None and level["type"] == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"]
-            and not any(re.search("[^▁]▁", p) for p in pieces)
-        )
+        n_a = max(vocab.values()) + 1
+        self.a_length = np.array([len(a_bytes.get(i, b"")) for i in range(n_a)], np.int64)
+        self.b_length = np.array([len(t) for t in self.b_bytes], np.int64)
+        #: A's ids before another of the group and before B's, B's ids before another and at the group's end.
+        listed = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (len(pieces), ",;")) for mark in marks for i in range(n)]
+        self.listed, self.b_listed = np.array(listed, object), 2 * n_a
+        self.listed_length = np.array(list(map(len, listed)), np.int64)
+        self.n_a, self.n_b = n_a, len(pieces)
+        plain = file["normalizer"] is None and level["type"] == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"]
+        self.parts = plain and not any(re.search("[^▁]▁", p) for p in pieces)
+        merges = [vocab[x + y] for x, y in (m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"])]
+        self.ranks = None
+        if plain and all(x < y for x, y in zip(merges, merges[1:])):  # ids rank the merges: the faster library gives the same
+            self.ranks = tiktoken.Encoding("a", pat_str=SPACES_LEAD, mergeable_ranks={t: i for i, t in a_bytes.items()}, special_tokens={})
         self.forget()
 
     def forget(self) -> None:
-        """Known parts: text -> number; by number what ``_learn`` found."""
+        """Known parts: text -> number; by number sizes, groups, wholeness, and where its links begin."""
         self.known: dict[str, int] = {}
         self.letters = 0
-        self.sizes: list[tuple[int, int, int, int]] = []
         self.groups: list[str] = []
-        self.whole: list[bool] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.whole = np.zeros(0, bool)
+        self.start = np.zeros(1, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+        self.times = np.zeros(0, np.int64)
 
     def split(self, text: str) -> list[str]:
         """Parts whose forms with a space before them make up a space and the text."""
@@ -81,82 +100,103 @@ class Aligner:
             return [text]
         return BOUNDARY.split(text) if UNEVEN.search(text) else text.split(" ")
 
-    def learn(self, parts: list[str]) -> list[int]:
-        """Numbers of parts that aren't known; long ones aren't put among the known."""
-        coded = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        numbers = []
-        for part, a, b in zip(parts, coded, self.b.encode(parts, num_threads=1)):
-            numbers.append(len(self.sizes))
-            self._learn(" " + part, a.ids, b)
-            self.letters += len(part) + 1
-            if len(part) <= LONG_PART:
-                self.known[part] = numbers[-1]
-        return numbers
-
-    def _learn(self, text: str, a: list[int], b: list[int]) -> None:
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        raw = text.encode()
-        whole = b"".join(a_parts) == raw == b"".join(b_parts)
-        listed, links, groups = [], Counter(), []
-        if whole:
-            i = j = i0 = j0 = at_a = at_b = n_links = 0
-            while i < len(a) or j < len(b):
-                if at_a <= at_b:
-                    at_a += len(a_parts[i])
-                    i += 1
-                else:
-                    at_b += len(b_parts[j])
-                    j += 1
-                if at_a == at_b:
-                    groups.append((a[i0:i], b[j0:j]))
-                    i0, j0 = i, j
-            for left, right in groups:
-                n_links += len(left) * len(right)
-                listed.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                if len(left) == 1 == len(right):
-                    links[left[0] << 20 | right[0]] += 1
-                else:
-                    rights = Counter(right).items()
-                    for x, m in Counter(left).items():
-                        for y, n in rights:
-                            links[x << 20 | y] += m * n
-            self.sizes.append((len(a), len(b), len(groups), n_links))
-        else:
-            self.sizes.append((0, 0, 0, 0))
-        self.whole.append(whole)
-        self.groups.append(";".join(listed))
-        self.pairs.append(np.fromiter(links.keys(), np.int64, len(links)))
-        self.times.append(np.fromiter(links.values(), np.int64, len(links)))
+    def _a_ids(self, text: str) -> list[int]:
+        if self.ranks and len(text) < LONG_TEXT:
+            return self.ranks.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def learn(self, parts: list[str]) -> None:
+        """Aligns parts that aren't known and gives them the next numbers."""
+        a = [self._a_ids(" " + p) for p in parts]
+        b = self.b.encode(parts, num_threads=1)
+        raw = [(" " + p).encode() for p in parts]
+        flat_b = np.fromiter(chain.from_iterable(b), np.int64)
+        whole = np.ones(len(parts), bool)
+        if b"".join(map(self.b_bytes.__getitem__, flat_b.tolist())) != b"".join(raw):
+            whole = np.array([b"".join(map(self.b_bytes.__getitem__, y)) == r for y, r in zip(b, raw)])
+            a, b = [x if w else [] for x, w in zip(a, whole)], [y if w else [] for y, w in zip(b, whole)]
+            flat_b = np.fromiter(chain.from_iterable(b), np.int64)
+        flat_a = np.fromiter(chain.from_iterable(a), np.int64)
+        size_a, size_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+        sizes, texts, pairs, times, links = self._aligned(flat_a, flat_b, size_a, size_b)
+        first = len(self.groups)
+        self.groups += texts
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.whole = np.concatenate([self.whole, whole])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(links)])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        self.known.update(zip(parts, range(first, first + len(parts))))
+        self.letters += sum(map(len, raw))
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
+        """Of parts laid end to end: sizes, listed groups, pairs with how often they are linked, and how many pairs."""
+        n = len(size_a)
+        ends_a, ends_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        of_a, of_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        in_a, in_b = np.bincount(of_a, minlength=len(both)), np.bincount(of_b, minlength=len(both))
+        before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        part_of = np.repeat(np.arange(n), size_a)[before_a] if len(both) else np.zeros(0, np.int64)
+        linked = in_a * in_b
+        sizes = np.stack([size_a, size_b, np.bincount(part_of, minlength=n), _added(part_of, linked, n)], axis=1)
+        # the groups' text: A's ids of a group, then B's
+        order = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.arange(len(a)) == (before_a + in_a - 1)[of_a], np.arange(len(b)) == (before_b + in_b - 1)[of_b]
+        order[np.arange(len(a)) + before_b[of_a]] = a + self.n_a * last_a
+        order[np.arange(len(b)) + (before_a + in_a)[of_b]] = self.b_listed + b + self.n_b * last_b
+        text = "".join(self.listed[order].tolist())
+        ends = np.concatenate([[0], np.cumsum(self.listed_length[order])])[np.concatenate([[0], np.cumsum(size_a + size_b)])].tolist()
+        texts = [text[x:y] for x, y in zip(ends, ends[1:])]
+        # links: every id of A in a group with every one of B; in large groups by distinct ids
+        few = np.flatnonzero(linked <= LARGE_GROUP)
+        each = linked[few]
+        group = np.repeat(few, each)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(each) - each, each)
+        pairs = a[before_a[group] + nth // in_b[group]] << 20 | b[before_b[group] + nth % in_b[group]]
+        times, owner = np.ones(len(pairs), np.int64), part_of[group]
+        for g in np.flatnonzero(linked > LARGE_GROUP).tolist():
+            x, m = np.unique(a[before_a[g] : before_a[g] + in_a[g]], return_counts=True)
+            y, k = np.unique(b[before_b[g] : before_b[g] + in_b[g]], return_counts=True)
+            pairs = np.concatenate([pairs, (x[:, None] << 20 | y[None, :]).ravel()])
+            times = np.concatenate([times, (m[:, None] * k[None, :]).ravel()])
+            owner = np.concatenate([owner, np.full(len(x) * len(y), part_of[g])])
+        by = np.argsort(owner, kind="stable")
+        return sizes, texts, pairs[by], times[by], np.bincount(owner, minlength=n)
 
     def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """For each text ``n_a, n_b, n_groups, n_links, groups``; and of all: pairs, their texts' places, how often linked."""
         if self.letters > MEMO_LETTERS:
             self.forget()
         split = [self.split(t) if t else [] for t in texts]
-        fresh = list({p: None for parts in split for p in parts if p not in self.known})
-        new = dict(zip(fresh, self.learn(fresh))) if fresh else {}
-        long = {p: n for p, n in new.items() if p not in self.known}
-        rows, numbers, places, amounts = [], [], [], []
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)
-        for place, parts in enumerate(split):
-            get = self.known.__getitem__ if not long else lambda p: self.known[p] if p in self.known else long[p]
-            own = list(map(get, parts))
-            if not own or not all(map(self.whole.__getitem__, own)):
-                rows.append((0, 0, 0, 0, None))
-                continue
-            which, n = np.unique(np.array(own, np.int64), return_counts=True)
-            totals = (sizes[which] * n[:, None]).sum(axis=0).tolist()
-            rows.append((*totals, ";".join(map(self.groups.__getitem__, own))))
-            numbers += which.tolist()
-            amounts.append(n)
-            places.append(np.full(len(which), place, np.int64))
-        if not numbers:
-            none = np.zeros(0, np.int64)
-            return rows, none, none, none
-        lengths = np.fromiter((len(self.pairs[k]) for k in numbers), np.int64, len(numbers))
-        pairs = np.concatenate([self.pairs[k] for k in numbers])
-        times = np.concatenate([self.times[k] for k in numbers]) * np.repeat(np.concatenate(amounts), lengths)
-        return rows, *_summed(pairs, np.repeat(np.concatenate(places), lengths), times)
+        known = self.known
+        if fresh := list({p: None for parts in split for p in parts if p not in known}):
+            self.learn(fresh)
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        own = np.fromiter((known[p] for parts in split for p in parts), np.int64, int(lengths.sum()))
+        place = np.repeat(np.arange(len(split)), lengths)
+        whole = np.bincount(place, weights=~self.whole[own], minlength=len(split)) == 0
+        own, place = own[whole[place]], place[whole[place]]
+        sizes = np.stack([_added(place, self.sizes[own, c], len(split)) for c in range(4)], axis=1).tolist()
+        ends = np.searchsorted(place, np.arange(len(split) + 1)).tolist()
+        numbers, get = own.tolist(), self.groups.__getitem__
+        listed = ["".join(map(get, numbers[x:y]))[:-1] if y > x else None for x, y in zip(ends, ends[1:])]
+        rows = [(*size, text) for size, text in zip(sizes, listed)]
+        key, amount = np.unique(place << 32 | own, return_counts=True)
+        own, place = key & 0xFFFFFFFF, key >> 32
+        links = np.diff(self.start)[own]
+        at = np.repeat(self.start[own] - (np.cumsum(links) - links), links) + np.arange(links.sum())
+        result = rows, *_summed(self.pairs[at], np.repeat(place, links), self.times[at] * np.repeat(amount, links))
+        for p in fresh:
+            if len(p) > LONG_PART:
+                del known[p]
+        return result
+
+
+def _added(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Whole-number sums by place."""
+    made = np.zeros(n, np.int64)
+    np.add.at(made, of, values)
+    return made
 
 
 def _summed(pairs: np.ndarray, places: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,8 +204,8 @@ def _summed(pairs: np.ndarray, places: np.ndarray, times: np.ndarray) -> tuple[n
     key = pairs << 20 | places
     order = np.argsort(key)
     key = key[order]
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[at] >> 20, key[at] & 0xFFFFF, np.add.reduceat(times[order], at)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[at] >> 20, key[at] & 0xFFFFF, np.add.reduceat(times[order], at) if len(at) else at
 
 
 def _pack(*columns: np.ndarray) -> bytes:

@@ -167,7 +167,7 @@ def aligned(df, spark, parts=None):
 def test_alignment_of_strange_texts(spark, libraries, parts):
     rng = random.Random(4)
     marks = [" ", "  ", "\n", "\t", "\xa0", "　", "\x1c", "a", "word", "'s", "1234", "é", ",", "日本", "▁", "<s>", "<0x0A>", "\U0001F600", "ﬁ", "<|endoftext|>"]
-    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(12))) for _ in range(1500)] + ["", " ", "aa " * 500, "x" * 3000, " lead", "trail ", LONG[:20_000]]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(12))) for _ in range(1500)] + ["", " ", "aa " * 500, "x" * 3000, "日本" * 900 + "語é" * 300, "\n" * 3000 + " " * 3000, "aé" * 9000, " lead", "trail ", LONG[:20_000]]
     got = aligned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark, parts)
     assert [tuple(r)[1:] for r in sorted(got)] == plain_alignment(texts, libraries)
 
