@@ -4,13 +4,15 @@ A shard is a slice of one language's texts as a sequence of word ids, pieces par
 dictionary is its own. Only its BWT and dictionary are kept. Phrases grow a word at a time in both
 directions: a phrase's interval lies inside its prefix's (extension to the right) and is reached from its
 suffix's by a backward step (extension to the left), so a phrase is followed only while both are frequent.
-What is frequent is a fact of all shards, hence the passes: words, pairs and triples are summed first, and
-bit maps of fixed size tell the next pass which to follow. The maps err on one side only; the last pass
-sums the phrases' texts, so counts and candidates are exact.
+What is frequent is a fact of all shards, hence the passes: pairs are summed first, then triples, then the
+longer phrases, by 128-bit digest; bit maps of fixed size tell the next pass which to follow. The maps err on
+one side only, so they save work and never lose a phrase. A last pass takes each frequent phrase's text from
+one shard that holds it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,17 +27,16 @@ from .common import stage, text_or_empty
 
 #: Text of one shard; a task holds two of them at most.
 SHARD_BYTES = 16 << 20
-#: Bits in a map of frequent words, pairs or triples: 8 MB, whatever the data.
+#: Bits in a map of frequent phrases: 8 MB, whatever the data.
 MAP_BITS = 1 << 26
-#: Levels that are summed by hash before the texts are.
-HASHED_LEVELS = (2, 3)
 WORD, GAP, BREAK = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = GAP
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MIX, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_SPREAD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 # ---- one shard ---------------------------------------------------------------------------------------------
@@ -74,25 +75,26 @@ def bwt(ids: np.ndarray, depth: int) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
-    """The same values as Spark's ``xxhash64(lang, word)``."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    """Two 64-bit lanes of a digest for each word."""
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words.cast(pa.binary()).to_pylist())
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2).T
 
 
 def phrases(column: np.ndarray, hashes: np.ndarray, follow: Callable[[int, np.ndarray], np.ndarray], depth: int):
     """Yields for each length from 1 the phrases that ``follow(length, hashes)`` lets live.
 
     A tuple of length, counts, id of the first word, place of the suffix (the phrase without its first word)
-    in the previous tuple, and hashes. ``column`` is a BWT of at least this depth.
+    in the previous tuple, and hashes in two lanes. ``column`` is a BWT of at least this depth.
     """
     back = np.argsort(column, kind="stable")
-    counts = np.bincount(column, minlength=len(hashes) + 1)
-    first = np.repeat(np.arange(-1, len(hashes)), counts)
+    counts = np.bincount(column, minlength=hashes.shape[1] + 1)
+    first = np.repeat(np.arange(-1, hashes.shape[1]), counts)
     live = follow(1, hashes)
     place = np.append(np.where(live, np.cumsum(live) - 1, -1), -1)
     ids = place[first]
     rows = np.flatnonzero(ids >= 0)
-    known = hashes[live]
+    known = hashes[:, live]
     yield 1, counts[1:][live], np.flatnonzero(live), np.zeros(int(live.sum()), np.int64), known
     for length in range(2, depth + 1):
         suffix = ids[back[rows]]
@@ -104,14 +106,14 @@ def phrases(column: np.ndarray, hashes: np.ndarray, follow: Callable[[int, np.nd
         at = np.flatnonzero(new)
         counts = np.diff(np.append(at, len(rows)))
         leads, tails = first[rows[at]], suffix[at]
-        mixed = (known[tails] ^ (hashes[leads] * _MIX)) * _SPREAD
+        mixed = (known[:, tails] ^ (hashes[:, leads] * _MIX[:, None])) * _SPREAD[:, None]
         mixed ^= mixed >> np.uint64(29)
         live = follow(length, mixed)
         place, of = np.where(live, np.cumsum(live) - 1, -1), np.cumsum(new) - 1
         ids = np.full(len(column), -1, np.int64)
         ids[rows] = place[of]
         rows = rows[live[of]]
-        known = mixed[live]
+        known = mixed[:, live]
         yield length, counts[live], leads[live], tails[live], known
 
 
@@ -135,13 +137,13 @@ def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 # ---- Spark -------------------------------------------------------------------------------------------------
-SHARD_SCHEMA = "lang string, words array<string>, counts array<bigint>, bwt binary"
+SHARD_SCHEMA = "shard bigint, lang string, words array<string>, counts array<bigint>, bwt binary"
 
 
 def shards(docs: DataFrame, depth: int, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
-    """One row per shard: its language (null: ``und``), its words with their counts, and its packed BWT."""
+    """One row per shard: a number of its own, its language (null: ``und``), its words with their counts, and its packed BWT."""
     rows = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_column).alias("text"))
-    schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("bwt", pa.binary())])
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("bwt", pa.binary())])
 
     def built(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         text = b"\n".join(texts)
@@ -151,7 +153,7 @@ def shards(docs: DataFrame, depth: int, lang_column: str = "lang", text_column:
                 column = bwt(ids, depth)
                 counts = np.bincount(column, minlength=len(words) + 1)[1:]
                 packed = zstandard.ZstdCompressor(level=1).compress(column.tobytes())
-                yield pa.RecordBatch.from_pylist([{"lang": lang, "words": words.to_pylist(), "counts": counts.tolist(), "bwt": packed}], schema)
+                yield pa.RecordBatch.from_pylist([{"shard": uuid.uuid4().int >> 65, "lang": lang, "words": words.to_pylist(), "counts": counts.tolist(), "bwt": packed}], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -184,40 +186,52 @@ def _cut(text: bytes, size: int) -> Iterator[bytes]:
 
 
 def _each_shard(made: DataFrame, maps: dict[int, np.ndarray], depth: int, collect: Callable, schema: str) -> DataFrame:
-    """Runs ``collect(lang, words, levels)`` over the shards; ``levels`` yields what ``phrases`` does."""
+    """Runs ``collect(shard, lang, words, levels)`` over the shards; ``levels`` yields what ``phrases`` does."""
     shared = made.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        follow = lambda length, hashes: may_hold(bits[length], hashes) if length in bits else np.ones(len(hashes), bool)
+        follow = lambda length, hashes: may_hold(bits[length], hashes[0]) if length in bits else np.ones(hashes.shape[1], bool)
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values
+                shard, lang, words = batch.column("shard")[i].as_py(), batch.column("lang")[i].as_py(), batch.column("words")[i].values
                 column = np.frombuffer(zstandard.decompress(batch.column("bwt")[i].as_py()), np.int32)
-                yield from collect(lang, words, phrases(column, word_hashes(words, lang), follow, depth))
+                yield from collect(shard, lang, words, phrases(column, word_hashes(words, lang), follow, depth))
 
-    return made.select("lang", "words", "bwt").mapInArrow(run, schema)
+    return made.select("shard", "lang", "words", "bwt").mapInArrow(run, schema)
 
 
-def _hashed(length: int) -> Callable:
-    def collect(lang, words, levels):
+def _digests(lengths: range) -> Callable:
+    """Collects phrases of these lengths as digest and count."""
+
+    def collect(shard, lang, words, levels):
         for k, counts, _, _, hashes in levels:
-            if k == length:
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
+            if k in lengths:
+                lanes = [pa.array(lane.view(np.int64)) for lane in hashes]
+                yield pa.RecordBatch.from_arrays([*lanes, pa.array(counts.astype(np.int64)), pa.array(np.full(len(counts), shard))], ["h", "c", "n", "shard"])
 
     return collect
 
 
-def _texts(lang, words, levels):
-    texts = None
-    for k, counts, first, tails, _ in levels:
-        lead = words.take(pa.array(first))
-        texts = lead if k == 1 else pc.binary_join_element_wise(lead, texts.take(pa.array(tails)), " ")
-        if k > 1:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(counts), pa.string()), pa.array(np.full(len(counts), k, np.int32)), texts, pa.array(counts.astype(np.int64))],
-                ["lang", "size", "phrase", "n"],
-            )
+def _in_shard(hashes: np.ndarray, shard: int) -> np.ndarray:
+    return hashes ^ np.uint64(shard)
+
+
+def _texts(chosen) -> Callable:
+    """Collects the texts of the phrases that are to be taken from their shard."""
+
+    def collect(shard, lang, words, levels):
+        texts = None
+        for k, counts, first, tails, hashes in levels:
+            lead = words.take(pa.array(first))
+            texts = lead if k == 1 else pc.binary_join_element_wise(lead, texts.take(pa.array(tails)), " ")
+            if k > 1:
+                own = np.flatnonzero(may_hold(chosen.value, _in_shard(hashes[0], shard)))
+                lanes = [pa.array(np.ascontiguousarray(lane[own]).view(np.int64)) for lane in hashes]
+                names = [pa.array([lang] * len(own), pa.string()), pa.array(np.full(len(own), k, np.int32))]
+                yield pa.RecordBatch.from_arrays([*lanes, *names, texts.take(pa.array(own))], ["h", "c", "lang", "size", "phrase"])
+
+    return collect
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_column: str = "lang", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -226,14 +240,24 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_colu
     pairs = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     words = stage(pairs.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f")), "words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.where(F.col("f") >= least)
-    maps = {1: bit_map(frequent.select(F.xxhash64("lang", "phrase").alias("h")))}
-    for length in (k for k in HASHED_LEVELS if k < longest):
-        summed = _each_shard(made, maps, length, _hashed(length), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-        maps[length] = bit_map(summed.where(F.col("n") >= least))
-    summed = _each_shard(made, maps, longest, _texts, "lang string, size int, phrase string, n bigint").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
-    longer = stage(summed.where(F.col("f") >= least), "phrases")
-    return frequent.select("lang", F.lit(1).alias("size"), "phrase", "f").unionByName(longer), total
+    frequent = words.where(F.col("f") >= least).select("lang", F.lit(1).alias("size"), "phrase", "f")
+    maps: dict[int, np.ndarray] = {}
+    counted = None
+    for lengths in (range(2, 3), range(3, 4), range(4, longest + 1)):
+        lengths = range(lengths.start, min(lengths.stop, longest + 1))
+        if lengths:
+            rows = _each_shard(made, maps, lengths.stop - 1, _digests(lengths), "h bigint, c bigint, n bigint, shard bigint")
+            summed = rows.groupBy("h", "c").agg(F.sum("n").alias("f"), F.min("shard").alias("shard")).where(F.col("f") >= least)
+            summed = stage(summed, "counts")
+            maps |= dict.fromkeys(lengths, bit_map(summed))
+            counted = summed if counted is None else counted.unionByName(summed)
+    if counted is None:
+        return frequent, total
+    chosen = made.sparkSession.sparkContext.broadcast(bit_map(counted.select(F.col("h").bitwiseXOR(F.col("shard")).alias("h"))))
+    texts = _each_shard(made, maps, longest, _texts(chosen), "h bigint, c bigint, lang string, size int, phrase string")
+    texts = texts.groupBy("h", "c", "lang", "size", "phrase").agg(F.lit(1))
+    longer = counted.join(texts, ["h", "c"]).select("lang", "size", "phrase", "f")
+    return frequent.unionByName(stage(longer, "phrases")), total
 
 
 def collocations(
@@ -245,8 +269,8 @@ def collocations(
     Candidates have 2 to ``longest`` words and occur ``a >= least`` times. Cut after k words into parts found
     l and r times, a candidate scores ``floor(scale * a * n / (l * r))`` at its lowest cut (ties: smallest k).
     One that lies inside a longer candidate with at least ``share`` percent of its count is dropped; as counts
-    only fall with length, the candidates one word longer decide that. The sum over shards is exact; products
-    are decimals of 38 digits. Null texts are empty, null languages ``und``; repeated rows count again; an
+    only fall with length, the candidates one word longer decide that. Phrases are summed by 128-bit digests;
+    products are decimals of 38 digits. Null texts are empty, null languages ``und``; repeated rows count again; an
     empty table gives no rows; other columns are not read. Ties are settled by count and phrase. The ``top``
     rows per language are the report itself.
     """
