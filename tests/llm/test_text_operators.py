@@ -1,6 +1,7 @@
 """Token counts, byte pairs, quality, language and licenses against plain versions and the tokenizers' libraries."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -194,6 +195,65 @@ def test_license_rules_and_overlaps(spark):
     assert len(licenses.rules()) > 300
 
 
+def sample(parsed, short=True):
+    """A text that a rule's pattern matches: first branches; optional parts left out, or once each."""
+    made = ""
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            made += chr(value)
+        elif name == "IN":
+            made += chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])
+        elif name == "ANY":
+            made += "x"
+        elif name == "SUBPATTERN":
+            made += sample(value[3], short)
+        elif name == "BRANCH":
+            made += sample(value[1][0], short)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            made += sample(value[2], short) * (value[0] if short else max(1, value[0]))
+    return made
+
+
+compiled = functools.cache(re.compile)  # re's own cache is smaller than the list of rules
+
+
+def plain_labels(text, signatures):
+    """All places of all rules, less those inside a place of the same or a higher priority."""
+    form, found = " ".join(plain_words(text)), set()
+    for r in signatures:
+        for m in compiled(r["pattern"]).finditer(form):
+            start = form[: m.start()].count(" ")
+            found.add((start, start + m[0].count(" ") + 1, r["priority"], r["label"], r["rule"]))
+    inside = lambda a, b: b is not a and b[0] <= a[0] and a[1] <= b[1] and b[2] >= a[2]
+    order = lambda s: (s[0], -s[1], -s[2], s[4])
+    kept = [a for a in found if a[2] == licenses.BASE_PRIORITY or not any(inside(a, b) and (b[:3] != a[:3] or order(b) < order(a)) for b in found)]
+    return {a[3] for a in kept}
+
+
+def test_every_rule_is_found_however_it_is_wrapped(spark):
+    signatures = licenses.rules()
+    texts = sorted({sample(re._parser.parse(r["pattern"]), short) for r in signatures for short in (True, False)})
+    assert len(signatures) > 500 and len(texts) > 800
+    for r in signatures:  # what lets a rule be tried is part of what it looks for
+        for text in (f" {sample(re._parser.parse(r['pattern']), short)} " for short in (True, False)):
+            assert " " + r["keyword"] in text and " " + r["anchor"] in text and r["anchor"] in licenses.ANCHORS, r
+    forms = ["\n".join, "\n * ".join, "\r\n//  ".join, " ... ".join, lambda w: " ".join(w).upper()]
+    rows = [(i, forms[i % len(forms)](text.split(" "))) for i, text in enumerate(texts)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "i long, text string").repartition(16)).collect()
+    want = {i: plain_labels(t, signatures) for i, t in enumerate(texts)}
+    for r in got:
+        assert set(r.labels) == want[r.row.i] and r.labels, r.row.text
+
+
+def test_labels_equal_a_plain_scan_of_a_table(spark, documents):
+    signatures = licenses.rules()
+    extra = "Copyright (c) 2020\nAll rights\n reserved. Released\n# under the MIT\n# license; MIT licence. Placed in the public\ndomain."
+    texts = [*documents.values(), extra, extra.replace("\n", " ")]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()
+    assert {r.row.i: set(r.labels) for r in rows} == {i: plain_labels(t, signatures) for i, t in enumerate(texts)}
+
+
 def test_licenses_of_awkward_rows(spark):
     got = licenses.scan_licenses(messy(spark))
     assert got.count() == len(messy_rows()) and licenses.scan_licenses(empty(spark)).count() == 0
