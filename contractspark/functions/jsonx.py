@@ -10,7 +10,8 @@ from ..rules import FIELDS
 from .text import count_of, last_position, let, strip, strip_end
 
 JSON_BLANKS = " \t\n\r"
-_PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "allowSingleQuotes": "false"}
+CORRUPT = "_corrupt_record"
+_PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
 
 
 def _label(text: Column, schema: str) -> Column:
@@ -20,14 +21,22 @@ def _label(text: Column, schema: str) -> Column:
 def strict_label(text: Column, schema: str = schemas.LABEL) -> Column:
     """Parsed label, or NULL unless the whole text is exactly one JSON object.
 
-    Spark's parsers ignore trailing text; wrapping the text into an array and counting the elements is
-    what rejects it.
+    Spark's parsers ignore trailing text, so the text is parsed once, as the entries of an array: anything
+    but one entry, or text after it, is rejected. A field whose own value is malformed (a key twice in an
+    inner object) is missing.
     """
-    def parse(body: Column) -> Column:
-        single = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
-        return F.when(F.startswith(body, F.lit("{")) & F.coalesce(single, F.lit(False)), _label(body, schema))
+    body = strip(text, JSON_BLANKS)
+    entries = F.from_json(
+        F.when(F.startswith(body, F.lit("{")), F.concat(F.lit("["), body, F.lit("]"))),
+        f"array<struct<{_fields(schema)}>>", _PARSE_OPTIONS,
+    )
+    return let(entries, lambda parsed: F.when(F.size(parsed) == 1, parsed[0]))
+
 
-    return let(let(strip(text, JSON_BLANKS), parse), lambda parsed: F.when(parsed["_corrupt_record"].isNull(), parsed))
+def _fields(schema: str) -> str:
+    """The fields of a label schema inside a struct; a nested struct has no place for the corrupt record."""
+    named = (field.split() for field in schema.split(",") if CORRUPT not in field)
+    return ", ".join(f"{name}: {kind}" for name, kind in named)
 
 
 def first_object(text: Column, schema: str = schemas.LABEL) -> Column:

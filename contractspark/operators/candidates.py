@@ -76,6 +76,17 @@ def candidate_examples(accepted: DataFrame, content: str = "raw_content") -> Dat
     return accepted.select("example_id", "attempt", chat(text, answer).alias("messages"))
 
 
+def valid_attempts(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS, *others: str) -> DataFrame:
+    """``example_id, attempt, raw_content`` (and ``others``) of the valid candidates among the first attempts.
+
+    An explode of one or no row instead of a filter: a filter would be pushed below the projections and
+    repeat the parsing and validation it depends on. Map stages only, so it also runs on streams.
+    """
+    tried = validate_candidates(candidates.where(F.col("attempt") < max_attempts))
+    row = F.struct("example_id", F.col("attempt").cast("int").alias("attempt"), "raw_content", *others)
+    return tried.select(F.explode(F.when(F.col("valid"), F.array(row))).alias("row")).select("row.*")
+
+
 def first_valid_attempt(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The earliest valid attempt of each example; examples without one give no row.
 

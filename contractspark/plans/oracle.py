@@ -345,8 +345,18 @@ def _fields(j: str) -> str:
     return ", ".join(f"{py_text(j, f)} AS {f}" for f in FIELDS)
 
 
+# lines that _faulty_lines spoils, and a line as it is written
+BAD = "CASE WHEN example_id % 50 IN (1, 2) THEN 'not_json' WHEN example_id % 50 = 3 THEN 'not_object' WHEN example_id % 50 = 4 THEN 'messages' WHEN example_id % 50 = 5 THEN 'example_id' END"
+LINE = """('{"example_id":' || example_id || ',"messages":' || CAST(to_json([{role: 'system', content: system_text}, {role: 'user', content: user_text}, {role: 'assistant', content: assistant_text}]) AS VARCHAR) || ',"note":"n' || example_id || '"}')"""
+
 ORACLES: dict[str, str] = {
     "scan_jsonl": EX + " SELECT example_id, 3 AS n_messages, user_text, assistant_text FROM fx_examples",
+    "scan_open_jsonl": EX + f""" SELECT CASE WHEN {BAD} IS NULL THEN example_id ELSE -1 END AS example_id, {BAD} IS NOT NULL AS own_id, {BAD} AS reason,
+      CAST(CASE WHEN {BAD} IS NULL THEN 3 ELSE -1 END AS INT) AS n_messages, CASE WHEN {BAD} IS NULL THEN 'n' || example_id END AS note,
+      CASE example_id % 50 WHEN 1 THEN left({LINE}, 40) WHEN 2 THEN {LINE} || ' {{}}' WHEN 3 THEN '[1, 2]' WHEN 4 THEN '{{"messages": "none"}}' WHEN 5 THEN '{{"example_id": "x"}}' END AS bad_line
+      FROM fx_examples WHERE example_id % 50 <> 6""",
+    "clean_open_examples": ITEMS + f" SELECT e.example_id, CAST(3 AS INT) AS n_messages, 'n' || e.example_id AS note, e.user_text FROM fx_examples AS e JOIN report AS r ON r.example_id = e.example_id WHERE e.example_id % 50 NOT BETWEEN 1 AND 6",
+    "split_from_files": "SELECT part, n, n AS with_text FROM (SELECT 'eval' AS part, greatest(1, CAST(floor(count(*) * 0.15) AS BIGINT)) AS n FROM orders UNION ALL SELECT 'train', count(*) - greatest(1, CAST(floor(count(*) * 0.15) AS BIGINT)) FROM orders) AS parts",
     "scan_qa": sql_prefix("fx_qa") + f" SELECT row_id, context, question, CAST(answer1 IS NOT NULL AS INT) + CAST(answer2 IS NOT NULL AS INT) AS n_answers, {FIRST_ANSWER} AS answer FROM fx_qa",
     "carve_payload": sql_prefix("fx_payload") + """ SELECT page_id,
       CASE WHEN strpos(body_text, '%PDF-') = 0 THEN NULL WHEN strpos(body_text, '%%EOF') = 0 THEN substr(body_text, strpos(body_text, '%PDF-'))

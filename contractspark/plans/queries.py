@@ -71,6 +71,54 @@ def scan_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _faulty_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """fx_examples as lines with a sibling key, some of them bad or blank."""
+    id_ = F.col("example_id")
+    line = F.to_json(F.struct("example_id", "messages", F.concat(F.lit("n"), id_).alias("note")))
+    kind = id_ % 50
+    bad = (
+        F.when(kind == 1, F.substring(line, 1, 40)).when(kind == 2, F.concat(line, F.lit(" {}"))).when(kind == 3, F.lit("[1, 2]"))
+        .when(kind == 4, F.lit('{"messages": "none"}')).when(kind == 5, F.lit('{"example_id": "x"}')).when(kind == 6, F.lit("  "))
+    )
+    return fx.examples(spark, sf).select(F.coalesce(bad, line).alias("value"))
+
+
+@query
+def scan_open_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with sibling keys, bad ones quarantined with a reason and an id of their own."""
+    path = shared_folder(spark, "open-jsonl")
+    _faulty_lines(spark, sf).write.text(path)
+    lines = tables.read_open_examples(spark, path, quarantine=True)
+    good = F.col("reason").isNull()
+    return lines.select(
+        F.when(good, F.col("example_id")).otherwise(-1).alias("example_id"), (F.col("example_id") >= tables.OWN_IDS).alias("own_id"), "reason",
+        F.coalesce(F.size("messages"), F.lit(-1)).alias("n_messages"), jsonx.as_text(F.col("fields")["note"]).alias("note"), F.col(jsonx.CORRUPT).alias("bad_line"),
+    )
+
+
+@query
+def clean_open_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned file of lines with sibling keys, read again: bad lines are left out, no line is blank."""
+    base = shared_folder(spark, "open-clean")
+    _faulty_lines(spark, sf).write.text(f"{base}/in")
+    lines = tables.read_open_examples(spark, f"{base}/in", quarantine=True)
+    tables.write_cleaned(lines, f"{base}/cleaned", f"{base}/report", quarantine_path=f"{base}/bad")
+    return tables.read_open_examples(spark, f"{base}/cleaned").select(
+        "example_id", F.size("messages").alias("n_messages"), jsonx.as_text(F.col("fields")["note"]).alias("note"),
+        messages.first_of_role(F.col("messages"), "user").alias("user_text"),
+    )
+
+
+@query
+def split_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Split sizes over lines without ids: each line has one by its place and is in exactly one part."""
+    path = shared_folder(spark, "no-ids")
+    fx.examples(spark, sf).select("messages").write.json(path)
+    train, held_out = split.split_train_eval(tables.read_examples(spark, path))
+    texts = [p.select(messages.first_of_role(F.col("messages"), "user").alias("t"), F.lit(part).alias("part")) for p, part in ((train, "train"), (held_out, "eval"))]
+    return texts[0].unionByName(texts[1]).groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("t").isNotNull()).alias("with_text"))
+
+
 @query
 def scan_qa(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "qa")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
-from ..operators.candidates import first_valid_attempt
+from ..operators.candidates import candidate_examples, valid_attempts
 from ..operators.cleaning import clean_examples
+from ..rules import MAX_ATTEMPTS
+
+_ACCEPTED = "example_id bigint, attempt int, raw_content string"
 
 
 def read_candidates(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -15,32 +23,44 @@ def read_candidates(spark: SparkSession, folder: str, files_per_trigger: int = 1
     return reader.json(folder)
 
 
-def ingest_candidates(candidates: DataFrame, accepted_path: str, checkpoint: str) -> StreamingQuery:
-    """Starts the job; it handles all data there is and then stops.
+def accepted_candidates(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """The valid attempt that settles each example: the earliest of the first micro-batch that has one.
 
-    Each micro-batch keeps the first valid attempt of examples not accepted before, cleans them and
-    writes them to its own folder ``batch=<id>``. A batch replayed after a failure overwrites that
-    folder and ignores it when looking for accepted ids, so every example is written exactly once.
+    Settled ids are the keyed state of the stream: a later batch looks its own ids up in the state store
+    and reads nothing that was written before. Equal attempts are settled by their text; candidates without
+    an id settle one example without an id. Only valid candidates are shuffled.
     """
+    return valid_attempts(candidates, max_attempts).groupBy("example_id").applyInPandasWithState(
+        _settle, _ACCEPTED, "attempt int", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def _settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    first = None
+    for batch in batches:  # one at a time: an example may have any number of candidates
+        if not state.exists:
+            best = batch.sort_values(["attempt", "raw_content"]).iloc[0]
+            found = int(best["attempt"]), best["raw_content"]
+            first = found if first is None else min(first, found)
+    if first is not None:
+        state.update((first[0],))
+        yield pd.DataFrame({"example_id": [key[0]], "attempt": [first[0]], "raw_content": [first[1]]}).astype(
+            {"example_id": "Int64", "attempt": "int32"}
+        )
 
-    def accept(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_valid_attempt(batch)
-        earlier = _accepted_before(spark, accepted_path, batch_id)
-        if earlier is not None:
-            fresh = fresh.join(earlier, "example_id", "left_anti")
-        clean_examples(fresh).write.mode("overwrite").parquet(f"{accepted_path}/batch={batch_id}")
 
+def ingest_candidates(candidates: DataFrame, accepted_path: str, checkpoint: str) -> StreamingQuery:
+    """Starts the job; it handles all data there is and then stops.
+
+    Accepted examples are cleaned and appended to a Parquet sink. State, source offsets and the sink's log
+    share the checkpoint, so a batch that is replayed after a failure yields the same rows and is written
+    once. Read the folder with Spark, which follows the sink's log.
+    """
+    cleaned = clean_examples(candidate_examples(accepted_candidates(candidates)))
     return (
-        candidates.writeStream.foreachBatch(accept)
+        cleaned.writeStream.format("parquet").outputMode("append")
+        .option("path", accepted_path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _accepted_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    accepted = spark.read.schema("example_id bigint, batch bigint").parquet(path)
-    return accepted.where(accepted["batch"] < batch_id).select("example_id")

@@ -277,7 +277,7 @@ def test_jsonl_bad_lines(spark, tmp_path):
     good = json.dumps({"example_id": 1, "messages": [{"role": "user", "content": "ü"}], "note": {"k": 1}})
     (tmp_path / "a.jsonl").write_text(f"{good}\n\n  \nnot json\n", encoding="utf-8")
     rows = tables.read_examples(spark, str(tmp_path), quarantine=True).collect()
-    assert sorted((r.example_id is None, r._corrupt_record) for r in rows) == [(False, None), (True, "not json")]
+    assert {(r.example_id == 1, r.reason, r._corrupt_record) for r in rows} == {(True, None, None), (False, "not_json", "not json")}
     with pytest.raises(Exception):
         tables.read_examples(spark, str(tmp_path)).collect()
     (tmp_path / "a.jsonl").write_text(good + "\n", encoding="utf-8")
@@ -326,3 +326,57 @@ def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
     want = cleaning.clean_examples(candidates.first_valid_attempt(df)).select("example_id", "attempt", "messages")
     got = spark.read.parquet(accepted).select("example_id", "attempt", "messages")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stream_settles_ids_in_its_state(spark, tmp_path):
+    """A later batch doesn't read what was written before, and a replayed one writes each example once."""
+    inbox, accepted, state = (tmp_path / p for p in ("in", "accepted", "state"))
+    rows = [(i, a, candidate() if a else candidate(parties=["Zed"])) for i in range(9) for a in range(3)] + [(None, 1, candidate()), (None, 2, candidate())]
+    df = spark.createDataFrame(rows, schemas.CANDIDATE)
+    run = lambda: ingest.ingest_candidates(ingest.read_candidates(spark, str(inbox), 1), str(accepted), str(state)).awaitTermination()
+    df.where("example_id < 6 AND attempt < 2").coalesce(1).write.json(str(inbox))
+    run()
+    first = {f: f.read_bytes() for f in accepted.glob("*.parquet")}
+    for f in first:
+        f.write_bytes(b"unreadable")
+    df.coalesce(1).write.mode("append").json(str(inbox))
+    run()
+    for f, content in first.items():
+        f.write_bytes(content)
+    got = lambda: sorted(map(str, spark.read.parquet(str(accepted)).select("example_id", "attempt").collect()))
+    want = sorted(map(str, spark.createDataFrame([(i, 1) for i in [*range(9), None]], "example_id long, attempt int").collect()))
+    assert got() == want
+    last = max((state / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for f in (last, state / "commits" / f".{last.name}.crc"):
+        f.unlink(missing_ok=True)  # as if the job had died between writing and committing
+    run()
+    assert got() == want
+
+
+def test_bad_lines_stop_the_open_reader_or_get_a_reason(spark, tmp_path):
+    message = '{"role": "user", "content": "x"}'
+    lines = {
+        f'{{"example_id": 1, "messages": [{message}], "k": [1]}}': None, f'{{"messages": [{message}]}}': None, '{"messages": null, "example_id": null}': None,
+        f'{{"messages": [{message}]': "not_json", f'{{"messages": [{message}]}} x': "not_json", "5": "not_object", "not": "not_json", "[{}]": "not_object",
+        '{"messages": {"role": "user"}}': "messages", '{"messages": [1]}': "messages", '{"example_id": 1.5}': "example_id", '{"example_id": [2]}': "example_id",
+    }
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n \n".join(lines) + "\n\t\n")
+    rows = tables.read_open_examples(spark, str(tmp_path / "in"), quarantine=True).collect()
+    assert {r["_corrupt_record"]: r.reason for r in rows if r.reason} == {k: v for k, v in lines.items() if v}
+    assert len({r.example_id for r in rows}) == len(rows) == len(lines) and all(r.example_id is not None for r in rows)
+    assert {r.example_id for r in tables.read_examples(spark, str(tmp_path / "in"), quarantine=True).collect()} == {r.example_id for r in rows}
+    with pytest.raises(Exception, match="bad line"):
+        tables.read_open_examples(spark, str(tmp_path / "in")).select("example_id").collect()
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.jsonl").write_text("\n".join(k for k, v in lines.items() if not v))
+    assert tables.read_open_examples(spark, str(tmp_path / "good")).count() == 3
+
+
+def test_outputs_never_replace_inputs(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1, [("assistant", '{"parties": []}')])], schemas.EXAMPLE).write.json(source)
+    for out in (source, f"{source}/", str(tmp_path)):
+        with pytest.raises(ValueError, match="input"):
+            tables.write_cleaned(tables.read_examples(spark, source), out, str(tmp_path / "report"))
+    assert tables.read_examples(spark, source).count() == 1
