@@ -23,10 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import slices, stage, text_or_empty
 
 #: Text of one shard; a task holds two of them at most.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Rows that a task hands over at a time.
+OUT_ROWS = 1 << 16
 #: Bits in a map of frequent phrases: 8 MB, whatever the data.
 MAP_BITS = 1 << 26
 WORD, GAP, BREAK = 0, 1, 2
@@ -87,36 +89,48 @@ def phrases(column: np.ndarray, hashes: np.ndarray, follow: Callable[[int, np.nd
     A tuple of length, counts, id of the first word, place of the suffix (the phrase without its first word)
     in the previous tuple, and hashes in two lanes. ``column`` is a BWT of at least this depth.
     """
-    back = np.argsort(column, kind="stable")
+    back = np.argsort(column, kind="stable").astype(np.int32)
     counts = np.bincount(column, minlength=hashes.shape[1] + 1)
-    first = np.repeat(np.arange(-1, hashes.shape[1]), counts)
+    first = np.repeat(np.arange(-1, hashes.shape[1], dtype=np.int32), counts)
     live = follow(1, hashes)
-    place = np.append(np.where(live, np.cumsum(live) - 1, -1), -1)
-    ids = place[first]
-    rows = np.flatnonzero(ids >= 0)
+    ids = np.append(_numbered(live), np.int32(-1))[first]
+    rows = np.flatnonzero(ids >= 0).astype(np.int32)
     known = hashes[:, live]
-    yield 1, counts[1:][live], np.flatnonzero(live), np.zeros(int(live.sum()), np.int64), known
+    yield 1, counts[1:][live], np.flatnonzero(live), np.zeros(int(live.sum()), np.int32), known
     for length in range(2, depth + 1):
         suffix = ids[back[rows]]
-        rows, suffix = rows[suffix >= 0], suffix[suffix >= 0]
+        followed = suffix >= 0
+        rows, suffix = rows[followed], suffix[followed]
         if not len(rows):
             return
         prefix = ids[rows]
         new = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])])
-        at = np.flatnonzero(new)
-        counts = np.diff(np.append(at, len(rows)))
+        at = np.flatnonzero(new).astype(np.int32)
+        counts = np.diff(np.append(at, np.int32(len(rows))))
         leads, tails = first[rows[at]], suffix[at]
-        mixed = (known[:, tails] ^ (hashes[:, leads] * _MIX[:, None])) * _SPREAD[:, None]
-        mixed ^= mixed >> np.uint64(29)
+        del prefix, suffix, followed
+        mixed = np.empty((2, len(at)), np.uint64)
+        for lane in range(2):
+            value = known[lane][tails]
+            value ^= hashes[lane][leads] * _MIX[lane]
+            value *= _SPREAD[lane]
+            value ^= value >> np.uint64(29)
+            mixed[lane] = value
         live = follow(length, mixed)
-        place, of = np.where(live, np.cumsum(live) - 1, -1), np.cumsum(new) - 1
-        ids = np.full(len(column), -1, np.int64)
-        ids[rows] = place[of]
-        rows = rows[live[of]]
+        of = np.cumsum(new, dtype=np.int32) - 1
+        if length < depth:
+            ids = np.full(len(column), -1, np.int32)
+            ids[rows] = _numbered(live)[of]
+            rows = rows[live[of]]
         known = mixed[:, live]
         yield length, counts[live], leads[live], tails[live], known
 
 
+def _numbered(live: np.ndarray) -> np.ndarray:
+    """Places among the living, -1 for the others."""
+    return np.where(live, np.cumsum(live, dtype=np.int32) - 1, -1).astype(np.int32)
+
+
 # ---- bit maps of fixed size --------------------------------------------------------------------------------
 def bit_map(keys: DataFrame) -> np.ndarray:
     """Three bits per 64-bit key; at most ``MAP_BITS / 64`` numbers come to the driver, however many keys there are."""
@@ -208,7 +222,8 @@ def _digests(lengths: range) -> Callable:
         for k, counts, _, _, hashes in levels:
             if k in lengths:
                 lanes = [pa.array(lane.view(np.int64)) for lane in hashes]
-                yield pa.RecordBatch.from_arrays([*lanes, pa.array(counts.astype(np.int64)), pa.array(np.full(len(counts), shard))], ["h", "c", "n", "shard"])
+                made = pa.RecordBatch.from_arrays([*lanes, pa.array(counts.astype(np.int64)), pa.array(np.full(len(counts), shard))], ["h", "c", "n", "shard"])
+                yield from slices([made], OUT_ROWS)
 
     return collect
 
@@ -229,7 +244,8 @@ def _texts(chosen) -> Callable:
                 own = np.flatnonzero(may_hold(chosen.value, _in_shard(hashes[0], shard)))
                 lanes = [pa.array(np.ascontiguousarray(lane[own]).view(np.int64)) for lane in hashes]
                 names = [pa.array([lang] * len(own), pa.string()), pa.array(np.full(len(own), k, np.int32))]
-                yield pa.RecordBatch.from_arrays([*lanes, *names, texts.take(pa.array(own))], ["h", "c", "lang", "size", "phrase"])
+                made = pa.RecordBatch.from_arrays([*lanes, *names, texts.take(pa.array(own))], ["h", "c", "lang", "size", "phrase"])
+                yield from slices([made], OUT_ROWS)
 
     return collect
 
