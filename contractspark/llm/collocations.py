@@ -167,12 +167,13 @@ def shards(docs: DataFrame, depth: int, lang_column: str = "lang", text_column:
                 column = bwt(ids, depth)
                 counts = np.bincount(column, minlength=len(words) + 1)[1:]
                 packed = zstandard.ZstdCompressor(level=1).compress(column.tobytes())
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_pylist([{"shard": uuid.uuid4().int >> 65, "lang": lang, "words": words.to_pylist(), "counts": counts.tolist(), "bwt": packed}], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 raw = text.encode()
                 held.setdefault(lang, []).append(raw)
@@ -211,6 +212,7 @@ def _each_shard(made: DataFrame, maps: dict[int, np.ndarray], depth: int, collec
                 shard, lang, words = batch.column("shard")[i].as_py(), batch.column("lang")[i].as_py(), batch.column("words")[i].values
                 column = np.frombuffer(zstandard.decompress(batch.column("bwt")[i].as_py()), np.int32)
                 yield from collect(shard, lang, words, phrases(column, word_hashes(words, lang), follow, depth))
+                pa.default_memory_pool().release_unused()
 
     return made.select("shard", "lang", "words", "bwt").mapInArrow(run, schema)
 
