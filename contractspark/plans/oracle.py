@@ -398,6 +398,9 @@ ORACLES: dict[str, str] = {
     "chunk_pages": CHUNKS + " SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, chunk_text FROM chunks",
     "chunk_pages_blocked": CHUNKS + " SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, chunk_text FROM chunks",
     "extract_chunks": CHUNKS + f" SELECT doc_id, 'Not Specified' AS effective_date, CAST(length({PROMPT.format('arg_min(chunk_text, chunk_no)')}) AS VARCHAR) AS liability_cap, 'Not Specified' AS termination_conditions FROM chunks GROUP BY doc_id",
+    "extract_failures": CHUNKS + f""" SELECT doc_id, count(*) AS n_chunks, CAST(count_if(bad) AS BIGINT) AS n_failed,
+      CASE WHEN NOT bool_or(bad) THEN 'ok' WHEN bool_and(bad) THEN 'failed' ELSE 'partial' END AS status, CASE WHEN bool_or(bad) THEN 'ValueError: bad length' END AS error
+      FROM (SELECT doc_id, length({PROMPT.format('chunk_text')}) % 7 = 0 AS bad FROM chunks) AS c GROUP BY doc_id""",
     "first_json_object": OBJECTS + f" SELECT doc_id, chunk_no, j IS NOT NULL AS found, {_fields('j')} FROM objs",
     "merge_chunks": MERGED + f" SELECT doc_id, array_to_string(parties, '|') AS parties, {', '.join(SCALAR_FIELDS)} FROM merged",
     "display_defaults": MERGED + f" SELECT doc_id, coalesce(nullif(array_to_string(parties, ', '), ''), 'Not Specified') AS parties, {', '.join(f'''coalesce(nullif({f}, ''), 'Not Specified') AS {f}''' for f in SCALAR_FIELDS)} FROM merged",

@@ -14,7 +14,7 @@ from ..functions.repetition import loop_position
 from ..operators import (
     audit, candidates, chunking, cleaning, documents, evaluation, indexing, merging, qa, reporting, split,
 )
-from ..operators.extract import extract
+from ..operators.extract import document_status, extract
 from ..rules import DEMO_TEXT_CHARS, FIELDS, QA_CONTEXT_CHARS, SCALAR_FIELDS
 from ..session import shared_folder
 from ..sources import payload, tables
@@ -398,6 +398,21 @@ def extract_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return merging.merge_chunks(extract(chunks, load)).select("doc_id", *SCALAR_FIELDS)
 
 
+@query
+def extract_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Status per document when the model fails on prompts of certain lengths."""
+    def load() -> Callable:
+        def model(prompts):
+            if any(len(p) % 7 == 0 for p in prompts):
+                raise ValueError("bad length")
+            return ["{}" for _ in prompts]
+
+        return model
+
+    chunks = chunking.chunk_pages(fx.load(spark, sf, "fx_pages"), PAGE_BUDGET)
+    return document_status(extract(chunks, load))
+
+
 @query
 def first_json_object(spark: SparkSession, sf: str) -> DataFrame:
     parsed = fx.load(spark, sf, "fx_chunk_outputs").withColumn("label", jsonx.first_object(F.col("output_text")))

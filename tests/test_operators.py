@@ -11,7 +11,7 @@ from contractspark.functions.messages import chat
 from contractspark.operators import (
     audit, candidates, chunking, cleaning, documents, evaluation, indexing, merging, qa, split,
 )
-from contractspark.operators.extract import extract
+from contractspark.operators.extract import document_status, extract, run_halving
 from contractspark.sources import payload, tables
 from contractspark.streaming import ingest
 
@@ -224,6 +224,39 @@ def test_extract_hook_isolates_failing_rows(spark):
     assert {r.id: r.output_text for r in extract(df, load).collect()} == {1: "2", 2: None, 3: "1"}
 
 
+def test_a_failing_batch_is_halved():
+    calls = []
+
+    def model(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts or "short" in prompts:
+            return prompts[1:] if "short" in prompts else 1 / 0
+        return [p.upper() for p in prompts]
+
+    prompts = ["a"] * 100 + ["bad"] + ["b"] * 300 + ["short"] + ["c"] * 110
+    rows = run_halving(model, prompts)
+    assert [r[0] for r in rows] == [p.upper() if len(p) == 1 else None for p in prompts]
+    assert {r[2] for r in rows} == {None, "ZeroDivisionError: division by zero", "ValueError: the model returned 0 outputs for 1 prompts"}
+    assert len(calls) < 45 and all((r[1] == "failed") == (r[0] is None) for r in rows)
+    assert run_halving(model, []) == []
+
+
+def test_document_status_and_broken_models(spark):
+    def load():
+        return lambda prompts: ["x" if "boom" not in p else 1 / 0 for p in prompts]
+
+    chunks = [(1, 0, "a"), (1, 1, "boom"), (2, 0, "boom"), (3, 0, None), (None, 0, "a")]
+    df = spark.createDataFrame(chunks, "doc_id bigint, chunk_no bigint, chunk_text string")
+    got = {r.doc_id: (r.n_chunks, r.n_failed, r.status) for r in document_status(extract(df, load)).collect()}
+    assert got[1] == (2, 1, "partial") and got[2] == (1, 1, "failed") and got[None] == (1, 0, "ok")
+
+    def broken():
+        raise RuntimeError("no weights")
+
+    with pytest.raises(Exception, match="no weights"):
+        extract(df, broken).collect()
+
+
 def test_carve_payload_bytes(spark):
     """Chosen payloads wrapped in noise, plain and in base64."""
     whole = [b"%PDF-1\x80\xfe%%EOF", b"%PDF-a%%EOF%%EOF", b"%PDF-\n\xe9 open", b"%PDF-"]
