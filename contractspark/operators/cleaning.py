@@ -70,9 +70,12 @@ def clean_examples(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataF
     )
 
 
-def cleaning_report(cleaned: DataFrame, id_column: str = "example_id") -> DataFrame:
-    """Rows with a change or a flag, with their 0-based index among all surviving examples."""
-    slim = dense_index(cleaned.select(id_column, *REPORT_COLUMNS), id_column, "example_index")
+def cleaning_report(cleaned: DataFrame, id_column: str = "example_id", folder: str | None = None) -> DataFrame:
+    """Rows with a change or a flag, with their 0-based index among all surviving examples.
+
+    The input is evaluated once; ``folder`` is where :func:`dense_index` keeps its tables.
+    """
+    slim = dense_index(cleaned.select(id_column, *REPORT_COLUMNS), id_column, "example_index", folder)
     return slim.where(F.col("modified") | F.col("effective_date_flagged"))
 
 

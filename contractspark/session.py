@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "contractspark", **conf: str) -> SparkSession:
@@ -31,12 +32,22 @@ def local_session(cores: int | str = "*", app: str = "contractspark", **conf: st
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path under the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place and is set.
+    Only where that is unset, as in local tests, a temporary folder takes its place for the whole process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="contractspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _temporary_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+@cache
+def _temporary_folder() -> str:
+    return tempfile.mkdtemp(prefix="contractspark-")
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df``, written to a path in the shared folder and read from there."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,13 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contractspark import schemas
+from contractspark import schemas, session
 from contractspark.functions.messages import chat
 from contractspark.operators import (
     audit, candidates, chunking, cleaning, documents, evaluation, indexing, merging, qa, split,
 )
 from contractspark.operators.extract import document_status, extract, run_halving
-from contractspark.sources import payload, tables
+from contractspark.sources import payload, publish, tables
 from contractspark.streaming import ingest
 
 N = "Not Specified"
@@ -413,3 +413,114 @@ def test_outputs_never_replace_inputs(spark, tmp_path):
         with pytest.raises(ValueError, match="input"):
             tables.write_cleaned(tables.read_examples(spark, source), out, str(tmp_path / "report"))
     assert tables.read_examples(spark, source).count() == 1
+
+
+def _listing(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*") if not p.name.endswith(".crc"))
+
+
+def test_index_keeps_rows_by_place_where_they_are_and_evaluates_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(0, 400, 1, 4).select(((F.lit(9) - F.spark_partition_id()).cast("bigint") * (1 << 33) + F.col("id")).alias("id"))
+    got = indexing.dense_index(df.where("id % 3 = 0").mapInPandas(count, "id bigint"), "id", "n", str(tmp_path / "a"))
+    rows = got.collect()
+    assert [r.n for r in sorted(rows, key=lambda r: r.id)] == list(range(len(rows))) and seen.value == len(rows) > 100
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["placed", "runs"]  # nothing was dealt anew
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()
+
+
+def test_index_of_overlapping_runs_null_and_equal_ids(spark, tmp_path):
+    ids = [None] * 50 + [7] * 60 + list(range(-20, 40))
+    random.Random(5).shuffle(ids)
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(5)
+    got = indexing.dense_index(df, "id", "n", str(tmp_path / "b")).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(len(ids)))
+    assert [r.id for r in got] == sorted(i for i in ids if i is not None) + [None] * 50
+    assert (tmp_path / "b" / "dealt").exists()
+    empty = indexing.dense_index(df.where("id > 99"), "id", "n")
+    assert empty.count() == 0 and empty.columns == ["id", "n"]
+
+
+def test_outputs_are_published_together(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "deep" / "two")
+    rows = lambda n: lambda path: spark.range(n).write.json(path)
+    sizes = lambda: [spark.read.schema("id bigint").json(p).count() for p in (one, two)]
+
+    def fail(path):
+        spark.range(1).write.json(path)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        publish.publish(spark, {one: rows(3), two: fail})
+    assert _listing(tmp_path) in ([], ["deep"])
+    publish.publish(spark, {one: rows(3), two: rows(4)})
+    assert sizes() == [3, 4]
+    with pytest.raises(RuntimeError, match="lost"):
+        publish.publish(spark, {one: rows(5), two: fail})
+    assert sizes() == [3, 4]
+    publish.publish(spark, {one: rows(5), two: rows(6)})
+    assert sizes() == [5, 6] and sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["deep", "one"]
+    assert not publish.finish(spark, one)
+
+
+def test_a_job_lost_between_the_moves_is_finished(spark, tmp_path, monkeypatch):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    rows = lambda n: lambda path: spark.range(n).write.json(path)
+    publish.publish(spark, {one: rows(1), two: rows(2)})
+    moves = []
+
+    def moved(done, path):
+        moves.append(str(path))
+        if len(moves) == 4:  # the manifest, both moves of the first output, then the old second one
+            raise OSError("lost")
+
+    monkeypatch.setattr(publish, "_moved", moved)
+    with pytest.raises(OSError, match="lost"):
+        publish.publish(spark, {one: rows(7), two: rows(8)})
+    monkeypatch.undo()
+    assert not (tmp_path / "two").exists()
+    assert publish.finish(spark, one)
+    assert [spark.read.schema("id bigint").json(p).count() for p in (one, two)] == [7, 8]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["one", "two"]
+
+
+def test_a_failed_cleaning_leaves_outputs_and_no_staging(spark, tmp_path, monkeypatch):
+    base = tmp_path / "shared"
+    monkeypatch.setattr(tables, "shared_folder", lambda *_: str(base / "cleaned"))
+    rows = [(1, [("assistant", '{"parties": ["Acme LLC", "We shall pay"]}')])]
+    df = spark.createDataFrame(rows, schemas.EXAMPLE)
+    out, report = str(tmp_path / "out"), str(tmp_path / "report")
+    tables.write_cleaned(df, out, report)
+    first = _listing(tmp_path / "out"), _listing(tmp_path / "report")
+    assert not list(base.iterdir())
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(tables, "cleaning_report", fail)
+    with pytest.raises(RuntimeError, match="lost"):
+        tables.write_cleaned(df, out, report)
+    assert (_listing(tmp_path / "out"), _listing(tmp_path / "report")) == first
+    assert not list(base.iterdir())
+
+
+def test_staging_has_a_folder_where_the_session_names_none():
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "local[2]"
+            getConf = staticmethod(dict)
+
+    one, two = (session.shared_folder(Unset, "x") for _ in range(2))
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+    Unset.sparkContext.master = "spark://host"
+    with pytest.raises(RuntimeError, match="shared"):
+        session.shared_folder(Unset, "x")
