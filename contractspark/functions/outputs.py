@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsonx import strict_label
 from .text import let, strip
 
 
@@ -18,12 +17,12 @@ def unfence(text: Column) -> Column:
     return let(strip(strip(text), "`"), untag)
 
 
-def demo_label(text: Column) -> Column:
-    """Demo parse: backticks stripped and the first ``json`` + newline removed; NULL when not JSON."""
+def demo_text(text: Column) -> Column:
+    """What the demo parses: backticks stripped and the first ``json`` + newline removed."""
     def untag(bare: Column) -> Column:
         at = F.locate("json\n", bare)
         return F.when(
             at > 0, F.concat(F.substring(bare, F.lit(1), at - 1), F.substring(bare, at + 5, F.length(bare)))
         ).otherwise(bare)
 
-    return strict_label(let(strip(strip(text), "`"), untag))
+    return let(strip(strip(text), "`"), untag)

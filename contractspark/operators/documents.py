@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import field_texts
-from ..functions.outputs import demo_label
+from ..functions.jsonx import field_texts, strict_label
+from ..functions.outputs import demo_text
 from ..functions.text import or_default, truncate
-from ..rules import DEMO_TEXT_CHARS, NOT_SPECIFIED, SCALAR_FIELDS
+from ..rules import DEMO_TEXT_CHARS, FIELDS, NOT_SPECIFIED, SCALAR_FIELDS
 from .paging import BLOCK_PAGES, page_block, split_by_depth
 
 INVALID_OUTPUT = "Model failed to output valid JSON."
@@ -52,13 +52,19 @@ def route_input(requests: DataFrame, limit: int = DEMO_TEXT_CHARS) -> DataFrame:
 
 
 def parse_or_error(outputs: DataFrame, text: str = "output_text") -> DataFrame:
-    """Adds the four fields as text (NULL when not JSON), ``error`` and ``raw_output``."""
+    """Adds the four fields as text (NULL when not JSON), ``other_fields``, ``error`` and ``raw_output``.
+
+    ``other_fields`` is a map of all other keys of the record, each value of any type; NULL when not JSON.
+    """
+    parsed, record = F.col("_label").isNotNull(), F.from_json("_text", "map<string,variant>")
     return (
-        outputs.withColumn("_label", demo_label(F.col(text)))
-        .withColumns({f: F.when(F.col("_label").isNotNull(), c) for f, c in field_texts(F.col("_label")).items()})
-        .withColumn("error", F.when(F.col("_label").isNull(), F.lit(INVALID_OUTPUT)))
-        .withColumn("raw_output", F.when(F.col("_label").isNull(), F.col(text)))
-        .drop("_label")
+        outputs.withColumn("_text", demo_text(F.col(text)))
+        .withColumn("_label", strict_label(F.col("_text")))
+        .withColumns({f: F.when(parsed, c) for f, c in field_texts(F.col("_label")).items()})
+        .withColumn("other_fields", F.when(parsed, F.map_filter(record, lambda k, _: ~k.isin(*FIELDS))))
+        .withColumn("error", F.when(~parsed, F.lit(INVALID_OUTPUT)))
+        .withColumn("raw_output", F.when(~parsed, F.col(text)))
+        .drop("_label", "_text")
     )
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rules import DOC_TYPES, FIELDS, METRIC_LABELS
+from ..rules import DOC_TYPES, FIELDS, METRIC_LABELS, REPORT_FIELDS_TITLE, REPORT_TITLES, REPORT_TYPES_LINE
 from .evaluation import METRICS, OVERALL, RATES
 
 
@@ -29,6 +29,38 @@ def markdown_table(metrics: DataFrame, models: Sequence[str]) -> DataFrame:
     )
 
 
+def evaluation_report(metrics_by_scope: DataFrame, models: Sequence[str]) -> DataFrame:
+    """``position, line``: the whole printed report as lines, empty ones included.
+
+    A table of rates and one of field scores for each scope, with title, number of examples (of the first
+    model), header and separator, then the number of examples of each document type. A model or scope
+    that the metrics do not hold shows ``?``.
+    """
+    values = F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("/", "scope", "model"), F.struct("n", *METRICS),
+    )))
+
+    def value(scope: str, model: str, name: str) -> Column:
+        return F.coalesce(F.col("values")[f"{scope}/{model}"][name].cast("string"), F.lit("?"))
+
+    def row(*cells) -> Column:
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+    def table(scope: str, head: str, labels: Sequence[tuple[str, str]]) -> list[Column]:
+        rule = f"|{'-' * (len(head) + 2)}|" + "|".join(["---"] * len(models)) + "|"
+        shown = [row(F.lit(text), *[F.concat(value(scope, m, name), F.lit("%")) for m in models]) for name, text in labels]
+        return [row(F.lit(head), *map(F.lit, models)), F.lit(rule), *shown]
+
+    lines = []
+    for scope, title in REPORT_TITLES:
+        n = value(scope, models[0], "n")
+        lines += [F.lit(""), F.concat(F.lit(f"### {title} (n="), n, F.lit(")")), *table(scope, "Metric", METRIC_LABELS)]
+        lines += [F.lit(""), F.lit(f"#### {REPORT_FIELDS_TITLE}"), *table(scope, "Field", [(f"f1_{f}", f"`{f}`") for f in FIELDS])]
+    types = [F.concat(F.lit(f"'{t}': "), value(t, models[0], "n")) for t in DOC_TYPES]
+    lines += [F.lit(""), F.concat(F.lit(REPORT_TYPES_LINE + "{"), F.concat_ws(", ", *types), F.lit("}"))]
+    return metrics_by_scope.agg(values.alias("values")).select(F.posexplode(F.array(*lines)).alias("position", "line"))
+
+
 def metrics_json(metrics_by_scope: DataFrame) -> DataFrame:
     """One row: ``{"overall": {model: record}, "by_document_type": {type: {model: record}}}``."""
     record = F.struct(

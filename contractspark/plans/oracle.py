@@ -349,6 +349,35 @@ def _fields(j: str) -> str:
 BAD = "CASE WHEN example_id % 50 IN (1, 2) THEN 'not_json' WHEN example_id % 50 = 3 THEN 'not_object' WHEN example_id % 50 = 4 THEN 'messages' WHEN example_id % 50 = 5 THEN 'example_id' END"
 LINE = """('{"example_id":' || example_id || ',"messages":' || CAST(to_json([{role: 'system', content: system_text}, {role: 'user', content: user_text}, {role: 'assistant', content: assistant_text}]) AS VARCHAR) || ',"note":"n' || example_id || '"}')"""
 
+# the printed report: (section, line in it, text)
+REPORT_SCOPES = (
+    ("overall", "Overall Model Evaluation Results (blended)"), ("templated_synthetic", "Results on templated/synthetic documents only"),
+    ("real_world_sec_style", "Results on real-world/SEC-filing-style documents only"),
+)
+REPORT = METRICS + f""",
+positions AS (SELECT * FROM (VALUES {METRIC_ROWS}) AS v(position, metric)),
+titles AS (SELECT * FROM (VALUES {', '.join(f'({i}, {lit(s)}, {lit(t)})' for i, (s, t) in enumerate(REPORT_SCOPES))}) AS v(section, scope, title)),
+report_cells AS (SELECT section, position, max({METRIC_VALUE}) FILTER (WHERE model = 'base') AS base, max({METRIC_VALUE}) FILTER (WHERE model = 'tuned') AS tuned
+  FROM positions, titles JOIN metrics ON metrics.scope = titles.scope GROUP BY section, position),
+type_counts AS (SELECT section, titles.scope, title, max(n) AS n FROM titles JOIN metrics ON metrics.scope = titles.scope WHERE model = 'base' GROUP BY ALL),
+texts AS (
+  SELECT section, 0 AS nth, '' AS line FROM titles
+  UNION ALL SELECT section, 1, '### ' || title || ' (n=' || n || ')' FROM type_counts
+  UNION ALL SELECT section, 2, '| Metric | base | tuned |' FROM titles
+  UNION ALL SELECT section, 3, '|--------|---|---|' FROM titles
+  UNION ALL SELECT section, 10 + position + CASE WHEN position > 7 THEN 20 ELSE 0 END, '| ' || {LABEL_CASE} || ' | ' || CAST(base AS VARCHAR) || '% | ' || CAST(tuned AS VARCHAR) || '% |' FROM report_cells
+  UNION ALL SELECT section, 20, '' FROM titles
+  UNION ALL SELECT section, 21, '#### Field-Level F1 Breakdown' FROM titles
+  UNION ALL SELECT section, 22, '| Field | base | tuned |' FROM titles
+  UNION ALL SELECT section, 23, '|-------|---|---|' FROM titles
+  UNION ALL SELECT 9, 0, ''
+  UNION ALL SELECT 9, 1, 'Document type breakdown in held-out set: {{' || string_agg(chr(39) || scope || chr(39) || ': ' || n, ', ' ORDER BY section) || '}}' FROM type_counts WHERE section > 0)"""
+HYBRID = ITEMS + ",\n" + CONTRACTS.removeprefix("WITH RECURSIVE ").replace("named AS (", "contract_names AS (").replace("JOIN named n", "JOIN contract_names n") + f""",
+mixed AS (SELECT 'synthetic' AS source, report.example_id * 2 AS example_id, fx_examples.user_text FROM report JOIN fx_examples ON report.example_id = fx_examples.example_id
+  UNION ALL SELECT 'real', row_id * 2 + 1, context FROM contracts),
+dealt AS (SELECT *, {_tokens('user_text')} AS t, row_number() OVER (ORDER BY md5('42:' || CAST(example_id AS VARCHAR))) AS r, count(*) OVER () AS total FROM mixed),
+parts AS (SELECT *, CASE WHEN r <= greatest(1, CAST(floor(total * 0.15::DOUBLE) AS BIGINT)) THEN 'eval' ELSE 'train' END AS part FROM dealt)"""
+
 ORACLES: dict[str, str] = {
     "scan_jsonl": EX + " SELECT example_id, 3 AS n_messages, user_text, assistant_text FROM fx_examples",
     "scan_open_jsonl": EX + f""" SELECT CASE WHEN {BAD} IS NULL THEN example_id ELSE -1 END AS example_id, {BAD} IS NOT NULL AS own_id, {BAD} AS reason,
@@ -373,6 +402,10 @@ ORACLES: dict[str, str] = {
     "qa_to_contracts": CONTRACTS + " SELECT * FROM contracts",
     "mix_datasets": CONTRACTS.replace(sql_prefix("fx_qa"), sql_prefix("fx_qa", "fx_examples")) + f""" SELECT 'synthetic' AS source, example_id * 2 AS example_id, 3 AS n_messages, user_text, CASE WHEN json_valid(assistant_text) THEN json_extract_string(assistant_text, '$.effective_date') END AS effective_date FROM fx_examples
       UNION ALL SELECT 'real', row_id * 2 + 1, 3, context, effective_date FROM contracts""",
+    "hybrid_pipeline": HYBRID + """ SELECT part, source, count(*) AS n, (list(t ORDER BY t))[count(*) // 2 + 1] AS p50, (list(t ORDER BY t))[CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT) + 1] AS p95,
+      max(t) AS max_tokens, count(*) FILTER (WHERE t > 100) AS over_limit FROM parts GROUP BY part, source""",
+    "evaluation_prompts": SPLIT + f""" SELECT example_id, {HEAD['system']} || system_text || '{TURN_END}' || {HEAD['user']} || user_text || '{TURN_END}' || {HEAD['assistant']} AS prompt
+      FROM fx_examples WHERE example_id IN (SELECT example_id FROM eval_ids)""",
     "build_examples": EX + " SELECT example_id, 0 AS pos, 'system' AS role, system_text AS content FROM fx_examples UNION ALL SELECT example_id, 1, 'user', user_text FROM fx_examples UNION ALL SELECT example_id, 2, 'assistant', assistant_text FROM fx_examples",
     "role_select": VARIED + f" SELECT example_id, found_at AS assistant_index, user_text, first_answer AS assistant_text, {py_text(valid_json('first_answer'), D)} AS effective_date FROM msgs",
     "prompt_messages": EX + " SELECT example_id, 0 AS pos, 'system' AS role, system_text AS content FROM fx_examples UNION ALL SELECT example_id, 1, 'user', user_text FROM fx_examples",
@@ -419,6 +452,11 @@ ORACLES: dict[str, str] = {
     "parse_or_error": sql_prefix("fx_predictions") + f", d AS (SELECT model, example_id, output_text, {valid_json(DEMO)} AS j FROM fx_predictions) SELECT model, example_id, {', '.join(f'CASE WHEN j IS NOT NULL THEN {py_text('j', f)} END AS {f}' for f in FIELDS)}, CASE WHEN j IS NULL THEN {NO_JSON} END AS error, CASE WHEN j IS NULL THEN output_text END AS raw_output FROM d",
     "unfence_outputs": sql_prefix("fx_predictions") + f" SELECT model, example_id, {BODY} AS body FROM fx_predictions",
     "align_predictions": sql_prefix("fx_predictions") + " SELECT p.model, p.example_id, p.output_text, e.user_text FROM fx_predictions p JOIN fx_examples e ON e.example_id = p.example_id",
+    "parse_or_error_open": sql_prefix("fx_predictions") + f""", noted AS (SELECT model, example_id, replace(output_text, '"termination_conditions"', '"note": ["n' || example_id || '"], "termination_conditions"') AS output_text FROM fx_predictions),
+      d AS (SELECT model, example_id, {valid_json(DEMO)} AS j FROM noted)
+      SELECT model, example_id, CASE WHEN j IS NOT NULL THEN CAST(json_exists(j, '$.note') AS INT) ELSE -1 END AS n_other, CASE WHEN json_exists(j, '$.note') THEN '[' || chr(39) || 'n' || example_id || chr(39) || ']' ELSE '' END AS note,
+      CASE WHEN j IS NOT NULL THEN {py_text('j', 'liability_cap')} END AS liability_cap, CASE WHEN j IS NULL THEN {NO_JSON} END AS error FROM d""",
+    "evaluation_report": REPORT + " SELECT CAST(row_number() OVER (ORDER BY section, nth) - 1 AS INT) AS position, line FROM texts",
     "eval_metrics": METRICS + " SELECT * EXCLUDE (scope) FROM metrics WHERE scope = 'overall'",
     "metrics_by_type": METRICS + " SELECT * FROM metrics",
     "heldout_metrics": SPLIT.replace(EX, SCORED) + _metrics("example_id IN (SELECT example_id FROM eval_ids)") + " SELECT * FROM metrics",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from ..functions import dates, flags, grounding, jsonx, messages, parties, scori
 from ..functions.outputs import unfence
 from ..functions.repetition import loop_position
 from ..operators import (
-    audit, candidates, chunking, cleaning, documents, evaluation, indexing, merging, qa, reporting, split,
+    audit, candidates, chunking, cleaning, dataset, documents, evaluation, indexing, merging, qa, reporting, split,
 )
 from ..operators.extract import document_status, extract
 from ..rules import DEMO_TEXT_CHARS, FIELDS, QA_CONTEXT_CHARS, SCALAR_FIELDS
@@ -227,6 +228,24 @@ def mix_datasets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def hybrid_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated examples and expert answers: mixed, cleaned, split, and the lengths of each part audited."""
+    parts = dataset.hybrid_dataset(fx.examples(spark, sf), fx.qa(spark, sf))
+    user = messages.first_of_role(F.col("messages"), "user")
+    audits = [
+        audit.length_audit(rows.where(F.col("source") == source), user, limit=100)
+        .select(F.lit(part).alias("part"), F.lit(source).alias("source"), "*")
+        for part, rows in zip(("train", "eval"), parts) for source in ("synthetic", "real")
+    ]
+    return functools.reduce(DataFrame.unionByName, audits)
+
+
+@query
+def evaluation_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.evaluation_prompts(split.split_train_eval(fx.examples(spark, sf))[1])
+
+
 # ---- chat examples ---------------------------------------------------------------------------------
 @query
 def build_examples(spark: SparkSession, sf: str) -> DataFrame:
@@ -553,6 +572,23 @@ def heldout_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.metrics_by_type(evaluation.score_predictions(fx.predictions(spark, sf), held_out))
 
 
+@query
+def parse_or_error_open(spark: SparkSession, sf: str) -> DataFrame:
+    """Demo records with a key of their own, which survives."""
+    note = F.concat(F.lit('"note": ["n'), F.col("example_id"), F.lit('"], "termination_conditions"'))
+    noted = fx.predictions(spark, sf).withColumn("output_text", F.replace("output_text", F.lit('"termination_conditions"'), note))
+    parsed = documents.parse_or_error(noted)
+    other = F.col("other_fields")
+    return parsed.select(
+        "model", "example_id", F.coalesce(F.cardinality(other), F.lit(-1)).alias("n_other"), jsonx.stringify(other["note"]).alias("note"), "liability_cap", "error",
+    )
+
+
+@query
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    return reporting.evaluation_report(evaluation.metrics_by_type(_scored(spark, sf)), MODELS)
+
+
 @query
 def metrics_table(spark: SparkSession, sf: str) -> DataFrame:
     return reporting.metrics_table(evaluation.eval_metrics(_scored(spark, sf)), MODELS)

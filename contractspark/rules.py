@@ -128,6 +128,15 @@ METRIC_LABELS = (
     ("flagged_ground_truth_rate", "**Flagged (possibly mislabeled) ground truth**"),
 )
 
+# The printed report's wording.
+REPORT_TITLES = (
+    ("overall", "Overall Model Evaluation Results (blended)"),
+    ("templated_synthetic", "Results on templated/synthetic documents only"),
+    ("real_world_sec_style", "Results on real-world/SEC-filing-style documents only"),
+)
+REPORT_FIELDS_TITLE = "Field-Level F1 Breakdown"
+REPORT_TYPES_LINE = "Document type breakdown in held-out set: "
+
 
 def candidate_json_schema() -> str:
     """JSON schema of a candidate record, as printed at the end of the generation prompt."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contractspark import schemas, session
 from contractspark.functions.messages import chat
 from contractspark.operators import (
-    audit, candidates, chunking, cleaning, documents, evaluation, indexing, merging, qa, split,
+    audit, candidates, chunking, cleaning, dataset, documents, evaluation, indexing, merging, qa, reporting, split,
 )
 from contractspark.operators.extract import document_status, extract, run_halving
 from contractspark.sources import payload, publish, tables
@@ -524,3 +524,39 @@ def test_staging_has_a_folder_where_the_session_names_none():
     Unset.sparkContext.master = "spark://host"
     with pytest.raises(RuntimeError, match="shared"):
         session.shared_folder(Unset, "x")
+
+
+def test_report_shows_what_the_metrics_lack(spark):
+    rows = [("overall", "a", 4, 12.5), ("overall", "b", 4, 0.0), ("templated_synthetic", "a", 4, 100.0)]
+    metrics = spark.createDataFrame(rows, "scope string, model string, n long, v double")
+    metrics = metrics.select("scope", "model", "n", *[F.col("v").alias(m) for m in evaluation.METRICS])
+    lines = [r.line for r in reporting.evaluation_report(metrics, ["a", "b"]).orderBy("position").collect()]
+    assert lines[:4] == ["", "### Overall Model Evaluation Results (blended) (n=4)", "| Metric | a | b |", "|--------|---|---|"]
+    assert "| **Exact Match Rate** | 12.5% | 0.0% |" in lines and "| `parties` | 100.0% | ?% |" in lines
+    assert lines[-1] == "Document type breakdown in held-out set: {'templated_synthetic': 4, 'real_world_sec_style': ?}"
+    assert lines.count("") == 7 and sum(line.startswith("#### ") for line in lines) == 3
+
+
+def test_demo_record_keeps_unknown_keys(spark):
+    texts = ['```json\n{"parties": ["A"], "note": {"k": [1]}, "n": null}```', "{}", "no", None]
+    rows = documents.parse_or_error(spark.createDataFrame(list(enumerate(texts)), "i int, output_text string"))
+    got = [r[0] for r in rows.orderBy("i").select(F.to_json("other_fields")).collect()]
+    assert [json.loads(g) if g else g for g in got] == [{"note": {"k": [1]}, "n": None}, {}, None, None]
+    assert [r.error is None for r in rows.orderBy("i").collect()] == [True, True, False, False]
+
+
+def test_hybrid_dataset_cleans_splits_and_loses_nothing(spark, tmp_path):
+    label = lambda n: json.dumps({"parties": ["Acme LLC", "We shall pay"] if n % 2 else ["Acme LLC"], "effective_date": "N"}) if n % 5 else "{}"
+    synthetic = spark.createDataFrame([(n, [("user", "u"), ("assistant", label(n))]) for n in range(40)], schemas.EXAMPLE)
+    asked = [(5 * c + k, f"text {c}", q, (["P"],)) for c in range(9) for k, q in enumerate(["Parties", "Effective Date"])]
+    qa_rows = spark.createDataFrame(asked, schemas.QA_ROW)
+    train, held_out = dataset.hybrid_dataset(synthetic, qa_rows, str(tmp_path / "mix"), 0.25, 3)
+    a, b = train.collect(), held_out.collect()
+    assert len(a) + len(b) == 32 + 9 and len(b) == 10
+    assert {(r.source, r.source_id) for r in a + b} == {("synthetic", n) for n in range(40) if n % 5} | {("real", 5 * c) for c in range(9)}
+    assert {r.source_id for r in a + b if r.modified} == {n for n in range(40) if n % 5 and n % 2}
+    assert "We shall pay" not in str([r.messages for r in a + b])
+    none = dataset.hybrid_dataset(synthetic.limit(0), qa_rows.limit(0), str(tmp_path / "none"))
+    assert [p.count() for p in none] == [0, 0]
+    prompts = {r.example_id: r.prompt for r in dataset.evaluation_prompts(held_out).collect()}
+    assert len(prompts) == 10 and all("assistant" in p and "Acme" not in p for p in prompts.values())
