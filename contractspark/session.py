@@ -51,3 +51,15 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     """The rows of ``df``, written to a path in the shared folder and read from there."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def located(spark: SparkSession, path: str):
+    """The file system a path lies in, and the path in its terms."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    files, target = located(spark, path)
+    files.delete(target, True)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from ..session import located, remove
+
 
 def publish(spark: SparkSession, writes: dict[str, Callable[[str], None]]) -> None:
     """Writes each output into a pending folder beside it, then puts all of them in place.
@@ -29,7 +31,7 @@ def publish(spark: SparkSession, writes: dict[str, Callable[[str], None]]) -> No
         for move in moves:
             remove(spark, move["pending"])
         raise
-    fs, path = _file(spark, manifest)
+    fs, path = located(spark, manifest)
     draft = spark._jvm.org.apache.hadoop.fs.Path(f"{manifest}-{mark}")
     stream = fs.create(draft, True)
     stream.write(bytearray(json.dumps(moves), "utf-8"))
@@ -43,7 +45,7 @@ def finish(spark: SparkSession, output: str) -> bool:
 
     Each move may have been done already, so this can itself be repeated.
     """
-    fs, manifest = _file(spark, _manifest(output.rstrip("/")))
+    fs, manifest = located(spark, _manifest(output.rstrip("/")))
     if not fs.exists(manifest):
         return False
     stream = fs.open(manifest)
@@ -62,12 +64,6 @@ def finish(spark: SparkSession, output: str) -> bool:
     return True
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a file or folder, if it is there."""
-    files, target = _file(spark, path)
-    files.delete(target, True)
-
-
 def _beside(output: str, prefix: str) -> str:
     """A sibling that file readers skip: its name starts with an underscore."""
     parent, _, name = output.rpartition("/")
@@ -78,11 +74,6 @@ def _manifest(output: str) -> str:
     return _beside(output, ".publish")
 
 
-def _file(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def _moved(done: bool, path) -> None:
     if not done:
         raise OSError(f"could not move to {path}")

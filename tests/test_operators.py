@@ -1,5 +1,6 @@
 """Operators on small hand-made tables against plain Python."""
 
+import hashlib
 import json
 import random
 
@@ -560,3 +561,29 @@ def test_hybrid_dataset_cleans_splits_and_loses_nothing(spark, tmp_path):
     assert [p.count() for p in none] == [0, 0]
     prompts = {r.example_id: r.prompt for r in dataset.evaluation_prompts(held_out).collect()}
     assert len(prompts) == 10 and all("assistant" in p and "Acme" not in p for p in prompts.values())
+
+
+@pytest.mark.parametrize("near", [0, 128, 70_000])
+def test_split_cut_in_one_pass_or_two(spark, monkeypatch, near):
+    monkeypatch.setattr(split, "NEAR_BUCKETS", near)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(3000).withColumnRenamed("id", "example_id").mapInPandas(count, "example_id bigint")
+    cut = split._cutoff(df, 0.15, 42, "example_id")
+    digests = sorted(hashlib.md5(f"42:{i}".encode()).hexdigest() for i in range(3000))
+    assert cut == digests[449]
+    assert near != 70_000 or seen.value == 3000  # the input was evaluated once
+    assert split._cutoff(df.where("example_id < 0"), 0.15, 42, "example_id") is None
+
+
+def test_split_of_an_id_on_most_rows(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, F.lit(7)).otherwise(F.col("id")).alias("example_id"))
+    train, held_out = (p.groupBy("example_id").count().collect() for p in split.split_train_eval(df, 0.15, 42))
+    assert sum(r["count"] for r in train + held_out) == 1000
+    assert not {r.example_id for r in train} & {r.example_id for r in held_out}
+    assert sum(r["count"] for r in held_out) >= 150
