@@ -90,7 +90,9 @@ FROM e"""
 def _qa(dialect: str) -> str:
     return f"""
 WITH a AS (
-  SELECT o_orderkey, o_custkey, o_orderdate, text FROM orders JOIN documents ON doc_id = CAST(floor(o_custkey * 2 / 3) AS BIGINT)
+  SELECT coalesce(o_orderkey, 1000000000 + doc_id) AS o_orderkey, coalesce(o_custkey, doc_id) AS o_custkey,
+    coalesce(o_orderdate, CAST('1995-06-01' AS DATE)) AS o_orderdate, text
+  FROM documents LEFT JOIN orders ON doc_id = CAST(floor(o_custkey * 2 / 3) AS BIGINT)
 ), q AS (
   SELECT o_orderkey, o_custkey, o_orderdate, text, k,
     CASE k WHEN 0 THEN 'Highlight the parts related to "Parties".' WHEN 1 THEN 'What is the Effective Date?'
