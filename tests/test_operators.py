@@ -13,6 +13,7 @@ from contractspark.operators import (
     audit, candidates, chunking, cleaning, dataset, documents, evaluation, indexing, merging, qa, reporting, split,
 )
 from contractspark.operators.extract import document_status, extract, run_halving
+from contractspark.rules import RuleSet
 from contractspark.sources import payload, publish, tables
 from contractspark.streaming import ingest
 
@@ -587,3 +588,35 @@ def test_split_of_an_id_on_most_rows(spark):
     assert sum(r["count"] for r in train + held_out) == 1000
     assert not {r.example_id for r in train} & {r.example_id for r in held_out}
     assert sum(r["count"] for r in held_out) >= 150
+
+
+def test_rules_of_ones_own_reach_every_rule(spark):
+    own = RuleSet(
+        party_labels=("SELLER",), boilerplate=(r"\bknown as\b",), clauses=(r"\bmust\b",), clause_lead_chars=3, max_name_words=4,
+        min_name_chars=6, date_words=("someday",), party_words=("nobody",), filing_markers=("docket",),
+    )
+    entries = ["SELLER: Acme", "LANDLORD: Acme", "Acme Ltd known as A", "Bo known as B", "it must pay", "Acme one must pay for two", "Acme must pay", "Acme (hereinafter X)"]
+    label = json.dumps({"parties": entries, "effective_date": "Someday soon"})
+    df = spark.createDataFrame([(1, [("user", "See DOCKET 5"), ("assistant", label)])], schemas.EXAMPLE)
+    row = cleaning.clean_examples(df, own).first()
+    kept = json.loads(row.messages[1].content)["parties"]
+    assert kept == ["Acme", "LANDLORD: Acme", "Acme Ltd", "it must pay", "Acme must pay", "Acme (hereinafter X)"]
+    assert row.effective_date_flagged and not cleaning.clean_examples(df).first().effective_date_flagged
+    counts = lambda rules: {r.doc_type: r.n for r in evaluation.doc_type_counts(df, rules).collect()}
+    assert counts(own) == {"templated_synthetic": 0, "real_world_sec_style": 1}
+    assert counts(RuleSet(filing_markers=("none",))) == {"templated_synthetic": 1, "real_world_sec_style": 0}
+    flagged = [evaluation.prepare_truth(df, r).first().flagged for r in (own, RuleSet(date_words=("never",), party_words=("nobody",)))]
+    assert flagged == [True, False]
+
+
+def test_written_metrics_are_one_json_text(spark, tmp_path):
+    rows = [(scope, model, 3, 50.0) for scope in ("overall", "templated_synthetic") for model in ("b", "a")]
+    metrics = spark.createDataFrame(rows, "scope string, model string, n long, v double")
+    metrics = metrics.select("scope", "model", "n", *[F.col("v").alias(m) for m in evaluation.METRICS])
+    path = str(tmp_path / "metrics")
+    for _ in range(2):  # a second run replaces the first
+        tables.write_metrics(reporting.metrics_json(metrics), path)
+    written = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert len(written) == 1 and set(written[0]) == {"overall", "by_document_type"}
+    assert written[0]["overall"]["a"]["n"] == 3 and written[0]["overall"]["b"]["field_f1"]["parties"] == 50.0
+    assert set(written[0]["by_document_type"]["templated_synthetic"]) == {"a", "b"}
