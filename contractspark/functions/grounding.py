@@ -17,14 +17,21 @@ def _share_found(value_words: Column, source: Column) -> Column:
     )
 
 
+def comparable(value: Column) -> Column:
+    """A value as the candidate rule compares it: lower case, stripped; a missing one is null-like."""
+    return F.coalesce(strip(F.lower(value)), F.lit("none"))
+
+
+def found_in(value: Column, lower_source: Column) -> Column:
+    """Candidate rule for a :func:`comparable` value. Words are split only if the value as a whole is not there."""
+    return F.when(value.isin(*CANDIDATE_NULLS) | F.contains(lower_source, value), F.lit(True)).otherwise(
+        F.coalesce(_share_found(words(value), lower_source) >= GROUNDED_SHARE, F.lit(True))
+    )
+
+
 def is_grounded(value: Column, lower_source: Column) -> Column:
     """Candidate rule, on lower-cased raw text; null-like and blank values count as grounded."""
-    return let(
-        F.coalesce(strip(F.lower(value)), F.lit("none")),
-        lambda v: F.when(v.isin(*CANDIDATE_NULLS) | F.contains(lower_source, v), F.lit(True)).otherwise(
-            F.coalesce(_share_found(words(v), lower_source) >= GROUNDED_SHARE, F.lit(True))
-        ),
-    )
+    return let(comparable(value), lambda v: found_in(v, lower_source))
 
 
 def is_hallucinated(value: Column, normal_value: Column, normal_source: Column) -> Column:

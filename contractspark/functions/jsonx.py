@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..rules import FIELDS
-from .text import count_of, last_position, let, strip, strip_end
+from .text import count_of, last_position, let, strip_end
 
 JSON_BLANKS = " \t\n\r"
 CORRUPT = "_corrupt_record"
@@ -21,16 +23,17 @@ def _label(text: Column, schema: str) -> Column:
 def strict_label(text: Column, schema: str = schemas.LABEL) -> Column:
     """Parsed label, or NULL unless the whole text is exactly one JSON object.
 
-    Spark's parsers ignore trailing text, so the text is parsed once, as the entries of an array: anything
-    but one entry, or text after it, is rejected. A field whose own value is malformed (a key twice in an
-    inner object) is missing.
+    Spark's parsers ignore trailing text, so the text is parsed once, as the first entry of an array that a
+    ``null`` ends: a text that holds more entries, or closes the array itself, has no ``null`` as its second
+    and last one. A field whose own value is malformed (a key twice in an inner object) is missing. Only blanks before the brace are looked at: trimming both ends of a long text
+    costs a pass over all of it.
     """
-    body = strip(text, JSON_BLANKS)
+    opens = F.startswith(F.ltrim(text, F.lit(JSON_BLANKS)), F.lit("{"))
     entries = F.from_json(
-        F.when(F.startswith(body, F.lit("{")), F.concat(F.lit("["), body, F.lit("]"))),
+        F.when(opens, F.concat(F.lit("["), text, F.lit(",null]"))),
         f"array<struct<{_fields(schema)}>>", _PARSE_OPTIONS,
     )
-    return let(entries, lambda parsed: F.when(F.size(parsed) == 1, parsed[0]))
+    return let(entries, lambda parsed: F.when((F.size(parsed) == 2) & parsed[1].isNull(), parsed[0]))
 
 
 def _fields(schema: str) -> str:
@@ -124,10 +127,11 @@ def stringify(value: Column) -> Column:
 
     Lists print as ``['a', 'b']``. Objects and unusual numbers stay JSON text.
     """
-    return let(value, lambda v: let(kind(v), lambda k: _text_of_kind(v, k)))
+    return let(value, lambda v: let(kind(v), lambda k: text_of_kind(v, k)))
 
 
-def _text_of_kind(value: Column, type_name: Column) -> Column:
+def text_of_kind(value: Column, type_name: Column) -> Column:
+    """:func:`stringify` for a value whose :func:`kind` is at hand, best as a column of an earlier projection."""
     printed = F.concat(
         F.lit("["), F.array_join(F.transform(elements(value), lambda e: _element_text(e)), ", "), F.lit("]")
     )
@@ -139,6 +143,13 @@ def _text_of_kind(value: Column, type_name: Column) -> Column:
     )
 
 
-def field_texts(label: Column, prefix: str = "") -> dict[str, Column]:
-    """The four label fields as text columns by name; all empty when the label itself is NULL."""
-    return {f"{prefix}{f}": stringify(label[f]) for f in FIELDS}
+def with_field_texts(rows: DataFrame, label: str, prefix: str = "", fields: Iterable[str] = FIELDS) -> DataFrame:
+    """Adds the label's fields as text columns ``<prefix><field>``; all empty when the label itself is NULL.
+
+    The kinds are a projection of their own, so each is found once and the texts are compiled code.
+    """
+    kinds = {f: f"_kind_{f}" for f in fields}
+    value = F.col(label)
+    found = rows.withColumns({name: kind(value[f]) for f, name in kinds.items()})
+    texts = {f"{prefix}{f}": text_of_kind(value[f], F.col(name)) for f, name in kinds.items()}
+    return found.withColumns(texts).drop(*kinds.values())

@@ -43,8 +43,11 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """White-space separated words; an empty array for blank text."""
-    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
+    """White-space separated words; an empty array for blank text.
+
+    Replacing keeps its compiled expression from row to row, splitting does not; a split at one blank needs none.
+    """
+    return F.filter(F.split(F.regexp_replace(text, SPACE_RUN, " "), " "), lambda w: w != "")
 
 
 def normal_words(normal: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.grounding import is_grounded
-from ..functions.jsonx import as_text, elements, is_list, is_string, strict_label, stringify
+from ..functions.grounding import comparable, found_in
+from ..functions.jsonx import as_text, elements, kind, strict_label, stringify, text_of_kind
 from ..functions.messages import chat
 from ..rules import CONTRACT_TYPES, MAX_ATTEMPTS, PROMPT_HEAD, PROMPT_TAIL, candidate_json_schema
 
@@ -40,40 +40,50 @@ def validate_candidates(candidates: DataFrame, content: str = "raw_content") ->
     termination conditions are not checked. Stateless, so it also runs on streams.
     """
     label = F.col("label")
-    parties = label["parties"]
+    parsed = candidates.withColumn("label", strict_label(F.col(content), schemas.CANDIDATE_LABEL))
+    kinds = {f"_kind_{f}": kind(label[f]) for f in ("messy_text", "parties", "effective_date", "liability_cap")}
+    text_kind, list_kind = F.col("_kind_messy_text"), F.col("_kind_parties")
+    entries = (
+        F.when(list_kind == "ARRAY<STRING>", F.try_variant_get(label["parties"], "$", "array<string>"))
+        .when(F.startswith(list_kind, F.lit("ARRAY")), F.transform(elements(label["parties"]), lambda p: stringify(p)))
+        .when(list_kind == "STRING", F.array(as_text(label["parties"])))
+    )
     texts = {
-        "_text": F.when(is_string(label["messy_text"]), as_text(label["messy_text"])),
-        "_parties": F.when(is_list(parties), F.transform(elements(parties), lambda p: stringify(p))).when(
-            is_string(parties), F.array(as_text(parties))
-        ),
-        "_date": stringify(label["effective_date"]),
-        "_cap": stringify(label["liability_cap"]),
+        "_text": F.when(text_kind == "STRING", as_text(label["messy_text"])),
+        "_parties": F.transform(entries, lambda p: comparable(p)),
+        "_date": comparable(text_of_kind(label["effective_date"], F.col("_kind_effective_date"))),
+        "_cap": comparable(text_of_kind(label["liability_cap"], F.col("_kind_liability_cap"))),
     }
     source = F.col("_source")
     reason = (
         F.when(label.isNull(), "bad_json")
-        .when(parties.isNotNull() & F.col("_parties").isNull(), "parties_type")
-        .when(F.exists("_parties", lambda p: ~is_grounded(p, source)), "party")
-        .when(~is_grounded(F.col("_date"), source), "effective_date")
-        .when(~is_grounded(F.col("_cap"), source), "liability_cap")
+        .when(label["parties"].isNotNull() & F.col("_parties").isNull(), "parties_type")
+        .when(F.exists("_parties", lambda p: ~found_in(p, source)), "party")
+        .when(~found_in(F.col("_date"), source), "effective_date")
+        .when(~found_in(F.col("_cap"), source), "liability_cap")
         .when(F.col("_text").isNull(), "no_messy_text")
     )
     return (
-        candidates.withColumn("label", strict_label(F.col(content), schemas.CANDIDATE_LABEL))
+        parsed.withColumns(kinds)
         .withColumns(texts)
         .withColumn("_source", F.coalesce(F.lower("_text"), F.lit("")))
         .withColumn("reason", reason)
         .withColumn("valid", F.col("reason").isNull())
-        .drop("_source", *texts)
+        .drop("_source", *kinds, *texts)
     )
 
 
 def candidate_examples(accepted: DataFrame, content: str = "raw_content") -> DataFrame:
-    """Accepted candidates as chat examples: the text asks, the label without the text answers."""
-    text = as_text(strict_label(F.col(content), schemas.CANDIDATE_LABEL)["messy_text"])
-    open_label = F.from_json(F.col(content), "map<string,variant>")
-    answer = F.to_json(F.map_filter(open_label, lambda k, v: k != "messy_text"))
-    return accepted.select("example_id", "attempt", chat(text, answer).alias("messages"))
+    """Accepted candidates as chat examples: the text asks, the label without the text answers.
+
+    The content is parsed once, as an open map, so unknown keys stay; of a key given twice the last text counts.
+    """
+    fields = F.col("_fields")
+    texts = F.map_values(F.map_filter(fields, lambda k, v: k == "messy_text"))
+    answer = F.to_json(F.map_filter(fields, lambda k, v: k != "messy_text"))
+    return accepted.withColumn("_fields", F.from_json(F.col(content), "map<string,variant>")).select(
+        "example_id", "attempt", chat(as_text(F.try_element_at(texts, F.lit(-1))), answer).alias("messages")
+    )
 
 
 def valid_attempts(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS, *others: str) -> DataFrame:
@@ -90,7 +100,9 @@ def valid_attempts(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS, *oth
 def first_valid_attempt(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The earliest valid attempt of each example; examples without one give no row.
 
-    ``min_by`` combines map-side, so one example with very many attempts costs one row per task.
+    ``min_by`` combines map-side, so one example with very many attempts costs one row per task, and only
+    the earliest valid text of each example and task is shuffled. (Aggregating keys alone and joining the
+    texts to them would read every text twice and shuffle the losing ones too.)
     Validity is a condition of the aggregate, not a filter before it: a filter would be pushed below
     the projections and repeat the parsing and validation it depends on.
     """

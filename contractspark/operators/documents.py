@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import field_texts, strict_label
+from ..functions.jsonx import strict_label, with_field_texts
 from ..functions.outputs import demo_text
 from ..functions.text import or_default, truncate
 from ..rules import DEMO_TEXT_CHARS, FIELDS, NOT_SPECIFIED, SCALAR_FIELDS
@@ -57,10 +57,10 @@ def parse_or_error(outputs: DataFrame, text: str = "output_text") -> DataFrame:
     ``other_fields`` is a map of all other keys of the record, each value of any type; NULL when not JSON.
     """
     parsed, record = F.col("_label").isNotNull(), F.from_json("_text", "map<string,variant>")
+    labelled = outputs.withColumn("_text", demo_text(F.col(text))).withColumn("_label", strict_label(F.col("_text")))
     return (
-        outputs.withColumn("_text", demo_text(F.col(text)))
-        .withColumn("_label", strict_label(F.col("_text")))
-        .withColumns({f: F.when(parsed, c) for f, c in field_texts(F.col("_label")).items()})
+        with_field_texts(labelled, "_label")
+        .withColumns({f: F.when(parsed, F.col(f)) for f in FIELDS})
         .withColumn("other_fields", F.when(parsed, F.map_filter(record, lambda k, _: ~k.isin(*FIELDS))))
         .withColumn("error", F.when(~parsed, F.lit(INVALID_OUTPUT)))
         .withColumn("raw_output", F.when(~parsed, F.col(text)))

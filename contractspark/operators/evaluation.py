@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date
 from ..functions.flags import document_type, truth_flags
 from ..functions.grounding import is_hallucinated, is_populated
-from ..functions.jsonx import close_truncated, field_texts, strict_label
+from ..functions.jsonx import close_truncated, strict_label, with_field_texts
 from ..functions.messages import first_of_role
 from ..functions.outputs import unfence
 from ..functions.repetition import loop_position
@@ -38,12 +38,14 @@ def parse_outputs(outputs: DataFrame, text: str = "output_text") -> DataFrame:
     searched = direct.isNull() & (F.length("_text") > LOOP_MIN_LEN * LOOP_REPEATS)
     rest = F.substring(F.col("_text"), F.lit(1), loop_at)
     salvaged = F.when(loop_at >= 0, strict_label(close_truncated(rest)))
-    return (
+    parsed = (
         outputs.withColumn("_text", unfence(F.col(text)))
         .withColumn("_direct", strict_label(F.col("_text")))
         .withColumn("_loop_at", loop_position(F.when(searched, F.col("_text"))))
         .withColumn("_label", F.coalesce(direct, salvaged))
-        .withColumns(field_texts(F.col("_label"), "pred_"))
+    )
+    return (
+        with_field_texts(parsed, "_label", "pred_")
         .withColumn("parse_failed", F.col("_label").isNull())
         .withColumn("was_truncated", loop_at >= 0)
         .drop("_text", "_direct", "_loop_at", "_label")
@@ -73,10 +75,12 @@ def prepare_truth(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFr
     text = {f: F.col(f"_text_{f}") for f in FIELDS}
     normal = {f: F.col(f"_normal_{f}") for f in FIELDS}
     source = F.coalesce(first_of_role(F.col("messages"), "user"), F.lit(""))
+    labelled = examples.select(
+        "example_id", source.alias("_source"),
+        strict_label(first_of_role(F.col("messages"), "assistant")).alias("_label"),
+    )
     return (
-        examples.select("example_id", source.alias("_source"),
-                        strict_label(first_of_role(F.col("messages"), "assistant")).alias("_label"))
-        .withColumns(field_texts(F.col("_label"), "_text_"))
+        with_field_texts(labelled, "_label", "_text_")
         .withColumns({f"_normal_{f}": normalize_text(text[f]) for f in FIELDS})
         .select(
             "example_id",

@@ -47,8 +47,9 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def _paired(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted and true field texts side by side."""
-    texts = jsonx.field_texts(F.col("label"), "true_")
-    truth = _labelled(spark, sf).withColumns(texts).select("example_id", *texts)
+    truth = jsonx.with_field_texts(_labelled(spark, sf), "label", "true_").select(
+        "example_id", *[f"true_{f}" for f in FIELDS]
+    )
     return evaluation.align_predictions(evaluation.parse_outputs(fx.predictions(spark, sf)), truth)
 
 
@@ -309,7 +310,7 @@ def flag_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def flag_truth(spark: SparkSession, sf: str) -> DataFrame:
-    fields = _labelled(spark, sf).withColumns(jsonx.field_texts(F.col("label")))
+    fields = jsonx.with_field_texts(_labelled(spark, sf), "label")
     found = flags.truth_flags(F.col("effective_date"), F.col("parties"))
     return fields.select("example_id", _joined(found).alias("flags"))
 

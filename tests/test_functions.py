@@ -69,6 +69,19 @@ def test_strict_label_accepts_what_json_accepts(spark):
     assert [g for i, g in enumerate(got) if i != 5] == [expected(v) for i, v in enumerate(values) if i != 5]
 
 
+def test_strict_label_rejects_what_follows_the_object(spark):
+    """Also text that closes an enclosing array or goes on with more entries."""
+    good = '{"liability_cap": "x"}'
+    tails = ["]", "] and more", ",", ", " + good, "," + good + "]", " x", "}", ",null", "null"]
+    values = [good, f" \n\t{good}\r\n", *[good + t for t in tails], "[" + good + "]", "null", "\u00a0" + good]
+    assert label_column(spark, values, lambda l: l.isNotNull()) == [True, True] + [False] * (len(values) - 2)
+
+
+def test_words_follow_python_for_every_blank(spark):
+    values = [" a\u2003b\x1cc\x85d\xa0e  f\n", "\u3000", "", "x"]
+    assert column(spark, values, text.words) == [v.split() for v in values]
+
+
 def test_stringify_matches_python_str(spark):
     values = [["a", "b"], [], ["it's"], ['q"t'], ["x\ny", "b\\s"], "plain", None, True, [None, False, "z"], ["Not Specified"]]
     contents = [json.dumps({"parties": v}) for v in values] + ["{}"]

@@ -163,6 +163,23 @@ def candidate(text="Deal of Acme on 2024", **fields):
     return json.dumps({"messy_text": text, "parties": ["Acme"], "effective_date": "2024", "liability_cap": N, **fields})
 
 
+def test_candidate_lists_of_mixed_entries(spark):
+    """Null entries count as null-like, numbers and nested values by their text; a key given twice counts last."""
+    twice = candidate()[:-1] + ', "messy_text": "Deal of Acme on 2024, again"}'
+    cases = [
+        (candidate(parties=["Acme", None]), None), (candidate(parties=[None]), None), (candidate(parties=[2024]), None),
+        (candidate(parties=[7, "Acme"]), "party"), (candidate(parties=[["Acme"]]), "party"),
+        (candidate(parties={"a": 1}), "parties_type"), (candidate(parties=3), "parties_type"),
+        (candidate(parties=["ACME "], effective_date=2024), None), (twice, None), (None, "bad_json"), ("", "bad_json"),
+    ]
+    df = spark.createDataFrame([(i, 0, c) for i, (c, _) in enumerate(cases)], "example_id long, attempt int, raw_content string")
+    reasons = {r.example_id: r.reason for r in candidates.validate_candidates(df).collect()}
+    assert reasons == {i: reason for i, (_, reason) in enumerate(cases)}
+    kept = {r.example_id: r.messages for r in candidates.first_valid_attempt(df).collect()}
+    assert sorted(kept) == [i for i, (_, reason) in enumerate(cases) if reason is None]
+    assert kept[8][-2].content.endswith("Deal of Acme on 2024, again") and "messy_text" not in kept[8][-1].content
+
+
 def test_candidate_validation_and_first_attempt(spark):
     rows = [
         (1, 0, candidate(parties=["Zed"])), (1, 1, candidate(extra={"k": [1]})), (1, 2, candidate()),
