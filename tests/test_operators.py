@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contractspark import schemas, session
 from contractspark.functions.messages import chat
 from contractspark.operators import (
-    audit, candidates, chunking, cleaning, dataset, documents, evaluation, indexing, merging, qa, reporting, split,
+    audit, candidates, chunking, cleaning, dataset, documents, evaluation, indexing, merging, prefilter, qa, reporting, split,
 )
 from contractspark.operators.extract import document_status, extract, run_halving
 from contractspark.rules import RuleSet
@@ -109,6 +109,26 @@ def test_qa_to_contracts_gathers_what_was_scattered(spark):
     assert {r.context for r in cut} <= {"contract text number..."} and len(cut) == 1
 
 
+def test_texts_of_other_rows_are_left_out_before_the_join(spark):
+    """Every wanted row passes the bitmap and few others do, so their texts are not shuffled."""
+    keys = spark.range(0, 100_000, 50).selectExpr("id AS k").unionByName(spark.createDataFrame([(None,), (-7,)], "k long"))
+    rows = spark.range(-10, 100_000).selectExpr("id AS k", "'text' AS t").unionByName(spark.createDataFrame([(None, "t")], "k long, t string"))
+    kept = prefilter.perhaps_among(rows, keys, "k")
+    assert kept.join(keys, "k", "left_semi").count() == 2001 and kept.count() < 12_000 and kept.columns == ["k", "t"]
+    assert prefilter.perhaps_among(rows, keys.limit(0), "k").count() == 0
+    answers = spark.createDataFrame([(i, f"context {i % 3}", "Parties?", (["A"],)) for i in range(9)], schemas.QA_ROW)
+    plan = qa.qa_to_contracts(answers)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bitmap" in plan
+
+
+def test_question_answer_files_hold_a_repeated_context_once(spark, tmp_path):
+    noise = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100_000))
+    rows = [(i, noise, f"question {i}", (["a"],)) for i in range(8)]
+    tables.write_qa(spark.createDataFrame(rows, schemas.QA_ROW).coalesce(1), str(tmp_path / "qa"))
+    assert sum(f.stat().st_size for f in (tmp_path / "qa").glob("*.parquet")) < 200_000
+    assert sorted(map(tuple, tables.read_qa(spark, str(tmp_path / "qa"), "part-*").select("row_id", "context").collect())) == [r[:2] for r in rows]
+
+
 def test_merge_chunks_gathers_what_was_scattered(spark):
     """Chosen records are spread over chunks, with defaults, repeats and junk between; one document is hot."""
     chance, rows, want = random.Random(9), [], {}
