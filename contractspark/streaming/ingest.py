@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
 from ..operators.candidates import candidate_examples, valid_attempts
@@ -16,6 +15,7 @@ from ..operators.cleaning import clean_examples
 from ..rules import MAX_ATTEMPTS
 
 _ACCEPTED = "example_id bigint, attempt int, raw_content string"
+_OUTPUT_ROWS = 10_000
 
 
 def read_candidates(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -26,27 +26,27 @@ def read_candidates(spark: SparkSession, folder: str, files_per_trigger: int = 1
 def accepted_candidates(candidates: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The valid attempt that settles each example: the earliest of the first micro-batch that has one.
 
-    Settled ids are the keyed state of the stream: a later batch looks its own ids up in the state store
-    and reads nothing that was written before. Equal attempts are settled by their text; candidates without
-    an id settle one example without an id. Only valid candidates are shuffled.
+    Only valid candidates are shuffled, by id, so that a micro-batch's attempts of an example are in one task,
+    which keeps the earliest of each. Settled ids are the keyed state of Spark's own deduplication: a later batch
+    looks its ids up in the state store and reads nothing that was written before. Equal attempts are settled by
+    their text; candidates without an id settle one example without an id.
     """
-    return valid_attempts(candidates, max_attempts).groupBy("example_id").applyInPandasWithState(
-        _settle, _ACCEPTED, "attempt int", "append", GroupStateTimeout.NoTimeout
-    )
+    together = valid_attempts(candidates, max_attempts).repartition("example_id")
+    return together.mapInArrow(_earliest, _ACCEPTED).dropDuplicates(["example_id"])
 
 
-def _settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first = None
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    best: dict = {}
     for batch in batches:  # one at a time: an example may have any number of candidates
-        if not state.exists:
-            best = batch.sort_values(["attempt", "raw_content"]).iloc[0]
-            found = int(best["attempt"]), best["raw_content"]
-            first = found if first is None else min(first, found)
-    if first is not None:
-        state.update((first[0],))
-        yield pd.DataFrame({"example_id": [key[0]], "attempt": [first[0]], "raw_content": [first[1]]}).astype(
-            {"example_id": "Int64", "attempt": "int32"}
-        )
+        ids, *found = (batch.column(name).to_pylist() for name in ("example_id", "attempt", "raw_content"))
+        for key, row in zip(ids, zip(*found)):
+            if key not in best or row < best[key]:
+                best[key] = row
+    rows = iter(best.items())
+    while part := list(islice(rows, _OUTPUT_ROWS)):
+        columns = zip(*((key, *row) for key, row in part))
+        types = (pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["example_id", "attempt", "raw_content"])
 
 
 def ingest_candidates(candidates: DataFrame, accepted_path: str, checkpoint: str) -> StreamingQuery:

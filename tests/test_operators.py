@@ -425,6 +425,17 @@ def test_stream_settles_ids_in_its_state(spark, tmp_path):
     assert got() == want
 
 
+def test_stream_settles_many_ids_without_a_python_call_for_each(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("example_id"), F.explode(F.lit([2, 0, 1])).alias("attempt"), F.lit(candidate()).alias("raw_content"))
+    rows.coalesce(1).write.json(str(tmp_path / "in"))
+    stream = ingest.read_candidates(spark, str(tmp_path / "in"), 1)
+    plan = ingest.accepted_candidates(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "FlatMapGroupsInPandasWithState" not in plan
+    ingest.ingest_candidates(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 3000 and got.where("attempt <> 0").isEmpty()
+
+
 def test_bad_lines_stop_the_open_reader_or_get_a_reason(spark, tmp_path):
     message = '{"role": "user", "content": "x"}'
     lines = {
