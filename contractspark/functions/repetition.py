@@ -16,8 +16,6 @@ from pyspark.sql.types import IntegerType
 from ..rules import LOOP_MAX_LEN, LOOP_MIN_LEN, LOOP_REPEATS, LOOP_STEP
 from .text import WHITESPACE
 
-_SPACES = np.array([ord(c) for c in WHITESPACE], dtype=np.uint32)
-
 
 def loop_start(text: str, min_len: int = LOOP_MIN_LEN, repeats: int = LOOP_REPEATS) -> int:
     """0-based start of the loop to cut, or -1. Shortest chunk length first, then leftmost start.
@@ -25,14 +23,14 @@ def loop_start(text: str, min_len: int = LOOP_MIN_LEN, repeats: int = LOOP_REPEA
     A chunk of length L starting at s repeats ``repeats`` times exactly when the text agrees with
     itself shifted by L on the (repeats-1)*L characters from s on, so for each L one comparison of two
     array slices and the run lengths of its matches decide all start positions at once. Only the
-    lengths found by :func:`_possible_lengths` are compared; for ordinary text there are none.
+    lengths found by :func:`_possible_lengths` are compared; for ordinary text there are none. A run that
+    begins with a blank chunk is blank throughout, so the first start decides for all of a run.
     """
     n = len(text)
     sizes = _possible_lengths(text, min_len, min(LOOP_MAX_LEN, n // repeats))
     if not sizes:
         return -1
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    visible = np.concatenate(([0], np.cumsum(~np.isin(chars, _SPACES))))
     for size in sizes:
         last = n - size * repeats  # starts must lie before this
         if last <= 0:
@@ -41,10 +39,9 @@ def loop_start(text: str, min_len: int = LOOP_MIN_LEN, repeats: int = LOOP_REPEA
         mismatch = np.flatnonzero(chars[:-size] != chars[size:])
         edges = np.concatenate(([-1], mismatch, [n - size]))
         for k in np.flatnonzero(np.diff(edges) - 1 >= need):
-            starts = np.arange(edges[k] + 1, min(edges[k + 1] - need, last - 1) + 1)
-            hit = starts[visible[starts + size] > visible[starts]]
-            if hit.size:
-                return int(hit[0])
+            start = int(edges[k]) + 1
+            if start < last and text[start:start + size].strip(WHITESPACE):
+                return start
     return -1
 
 
