@@ -33,7 +33,8 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """Date for the accepted spellings (month before day wins for slashes), else NULL.
 
-    The shape decides which spelling is tried, so no attempt fails with an exception.
+    The shape decides which spelling is tried, so no attempt fails with an exception. Every spelling ends
+    with a digit, so other texts are told by their last character.
     """
     return let(strip(text), _stripped_date)
 
@@ -44,7 +45,8 @@ def _stripped_date(t: Column) -> Column:
 
     slash = [part(_SLASHES, i) for i in (1, 2, 3)]
     return (
-        F.when(F.rlike(t, F.lit(_ISO)), _date(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3)))
+        F.when(~F.substring(t, -1, 1).between("0", "9"), None)
+        .when(F.rlike(t, F.lit(_ISO)), _date(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3)))
         .when(
             F.rlike(t, F.lit(_SLASHES)),
             F.coalesce(_date(slash[2], slash[0], slash[1]), _date(slash[2], slash[1], slash[0])),

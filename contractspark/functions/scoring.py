@@ -43,7 +43,8 @@ def sets_f1(predicted: Column, truth: Column) -> Column:
 
 
 def set_f1(predicted: Column, truth: Column, splitter: Callable[[Column], Column]) -> Column:
-    return let(splitter(predicted), lambda p: let(splitter(truth), lambda t: sets_f1(p, t)))
+    split = let(splitter(predicted), lambda p: let(splitter(truth), lambda t: sets_f1(p, t)))
+    return F.when(predicted == truth, F.lit(1.0)).otherwise(split)  # equal texts have equal sets
 
 
 def token_f1(predicted: Column, truth: Column) -> Column:
@@ -55,7 +56,8 @@ def party_f1(predicted: Column, truth: Column) -> Column:
 
 
 def date_match(predicted: Column, truth: Column) -> Column:
-    return F.when(normalize_date(predicted) == normalize_date(truth), F.lit(1.0)).otherwise(F.lit(0.0))
+    agree = F.when(normalize_date(predicted) == normalize_date(truth), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(predicted == truth, F.lit(1.0)).otherwise(agree)
 
 
 def score_field(field: str, predicted: Column, truth: Column) -> Column:
