@@ -4,27 +4,32 @@ Strict spans always stay. High-recall generators propose further, overlapping sp
 plus, digits grouped by other marks, addresses written around the at sign). The trees learn from the corpus
 itself: strict spans and rewritten forms of them are positive, damaged forms and the other candidates of the
 same texts that fail their kind's check are negative. Features leave out the very mark that the strict
-pattern demands, so what is learned carries over to the other forms.
+pattern demands, so what is learned carries over to the other forms. Every text of the corpus is learned from:
+Spark counts the labelled rows, and the trees, their bins and the thresholds come from sums over all of them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import slices, text_or_empty
+from .common import slices, stage, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: The fit's sample: texts (the smallest hashes among those with a digit or an at sign), and candidates of them.
-SAMPLE_TEXTS, SAMPLE_ROWS = 2000, 20_000
+#: Up to so many distinct binned rows are added up in the driver, more of them by a Spark job per level of each tree.
+LOCAL_ROWS = 50_000
+#: Probabilities are cut down to multiples of one over this, so that thresholds come from bounded counts.
+STEPS = 10_000
 #: Held-out precision that a kind's threshold must reach, and the least threshold.
 PRECISION, LEAST = 0.99, 0.9
 
@@ -74,7 +79,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _octets(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    parts = [p.lstrip("0") for p in s.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
 
 def strict_spans(text: str) -> list[Span]:
@@ -175,24 +181,45 @@ def _damaged(kind: int, s: str) -> list[str]:
     if kind == 0:
         return [s.replace("@", " (at) ").split(".")[0] + ".1", s.rpartition(".")[0] + ".9"]
     if kind == 1:
-        return [".".join(str(int(p) + 256) for p in s.split(".")), s + ".7"]
+        return [".".join(str(int(p.lstrip("0") or 0) + 256) for p in s.split(".")), s + ".7"]
     if kind == 2:
         wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
         return [".".join(wrong[i : i + 4] for i in range(0, len(wrong), 4)), wrong]
     return [f"20{digits[-2:]}-{digits[-4:-2]}-{digits[-6:-4]}", "-".join(digits), f"{digits[:2]} {digits[2:4]} {digits[4:7]}", f"{digits[:4]}-{digits[4:8]}-{digits[-4:]}", f"{digits[-4:]} {digits[:2]} {digits[2:5]} {digits[5:8]}"]
 
 
+class _Taken:
+    """Intervals of a text that further spans must not overlap, sorted and disjoint."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.starts, self.ends = [], []
+        for s in spans:  # by start
+            if self.ends and s.start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], s.end)
+            else:
+                self.starts.append(s.start), self.ends.append(s.end)
+
+    def free(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before == 0 or self.ends[before - 1] <= start
+
+    def take(self, start: int, end: int) -> None:
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start), self.ends.insert(at, end)
+
+
 def labelled(text: str) -> Iterator[tuple[int, float, list[float]]]:
     """kind, label and features of a text's candidates and of rewritten and damaged strict spans."""
     strict = strict_spans(text)
     for s in strict:
         yield s.kind, 1.0, features(s.kind, text, s.start, s.end)
-        own = text[s.start : s.end]
+        own, before, after = text[s.start : s.end], text[max(0, s.start - _CONTEXT) : s.start], text[s.end : s.end + _CONTEXT]
         for label, forms in ((1.0, _rewritten(s.kind, own)), (0.0, _damaged(s.kind, own))):
             for form in forms:
-                yield s.kind, label, features(s.kind, text[: s.start] + form + text[s.end :], s.start, s.start + len(form))
+                yield s.kind, label, features(s.kind, before + form + after, len(before), len(before) + len(form))
+    taken = _Taken(strict)
     for kind, a, b in candidates(text):
-        if all(b <= s.start or a >= s.end for s in strict) and not _plausible(kind, text[a:b]):
+        if taken.free(a, b) and not _plausible(kind, text[a:b]):
             yield kind, 0.0, features(kind, text, a, b)
 
 
@@ -215,52 +242,133 @@ class Model:
     def spans(self, text: str) -> list[Span]:
         """Strict spans and the further ones that the trees select, best first where those overlap."""
         strict = strict_spans(text)
-        proposed = [
-            (k, a, b) for k, a, b in candidates(text)
-            if all(b <= s.start or a >= s.end for s in strict) and _plausible(k, text[a:b])
-        ]
+        taken = _Taken(strict)
+        proposed = [(k, a, b) for k, a, b in candidates(text) if taken.free(a, b) and _plausible(k, text[a:b])]
         if not proposed:
             return strict
-        scores = self.trees.probability(np.array([features(k, text, a, b) for k, a, b in proposed]))
+        scores = _stepped(self.trees.probability(np.array([features(k, text, a, b) for k, a, b in proposed])))
         chosen: list[Span] = []
         for i in np.argsort(-scores, kind="stable").tolist():
             kind, a, b = proposed[i]
-            if scores[i] >= self.thresholds[kind] and all(b <= s.start or a >= s.end for s in chosen):
+            if scores[i] >= self.thresholds[kind] and taken.free(a, b):
+                taken.take(a, b)
                 chosen.append(Span(kind, a, b, float(scores[i]), False))
         return sorted(strict + chosen, key=lambda s: (s.start, s.kind, s.end))
 
 
-def fit(docs: DataFrame, text_column: str = "text", texts: int = SAMPLE_TEXTS, rows: int = SAMPLE_ROWS) -> Model:
-    """Trees from a bounded sample of labelled candidates: at most ``rows`` of at most ``texts`` distinct texts.
+def _stepped(probability: np.ndarray) -> np.ndarray:
+    return np.floor(probability * STEPS) / STEPS
+
 
-    The texts are those with the smallest hashes; candidates are made and labelled on the executors. A fifth
-    of the texts is held out to set, for each kind, the threshold with the wanted precision. A kind without
-    held-out positives gets threshold 1, which selects nothing.
+def labelled_rows(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """``held, kind, label, x`` and ``n``, how often: the labelled rows of every distinct text, by what they hold.
+
+    Texts are told by their 64-bit hash, which also decides whether a text is held out (a fifth of them). Texts
+    without a digit and an at sign have no labelled rows. What a text holds is counted where it lies; only
+    the counts are shuffled.
     """
     some = docs.select(F.col(text_column).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    hashed = some.withColumn("h", F.xxhash64("text"))
-    chosen = hashed.select("h").distinct().orderBy("h").limit(texts)
-    sample = hashed.join(F.broadcast(chosen), "h").dropDuplicates(["h"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            h, kind, label, values = [], [], [], []
-            for key, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
-                for k, y, x in labelled(text):
-                    h.append(key), kind.append(k), label.append(y), values.append(x)
+            found = Counter(
+                (h, k, y, tuple(map(int, x)))
+                for h, text in dict(zip(batch.column("h").to_pylist(), batch.column("text").to_pylist())).items() for k, y, x in labelled(text)
+            )
+            h, kind, label, values = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(kind, pa.int32()), pa.array(label, pa.float64()), pa.array(values, pa.list_(pa.float64()))],
-                ["h", "kind", "label", "x"],
+                [pa.array(h, pa.int64()), pa.array(kind, pa.int32()), pa.array(label, pa.float64()), pa.array(values, pa.list_(pa.int32())), pa.array(found.values(), pa.int64())],
+                ["h", "kind", "label", "x", "n"],
             )
 
-    made = sample.select("h", "text").mapInArrow(make, "h bigint, kind int, label double, x array<double>")
-    table = made.orderBy("h", "kind", "label", "x").limit(rows).toPandas()
-    x = np.array(table["x"].tolist(), np.float64).reshape(len(table), FEATURES)
-    y, kind, held = table["label"].to_numpy(), table["kind"].to_numpy(), table["h"].to_numpy() % 5 == 0
-    trees = boosting.fit(x[~held], y[~held])
-    scores = trees.probability(x) if len(table) else y
-    limits = [boosting.calibrated(scores[held & (kind == k)], y[held & (kind == k)], PRECISION, LEAST) for k in range(len(KINDS))]
-    return Model(trees, tuple(limits))
+    made = some.select(F.xxhash64("text").alias("h"), "text").mapInArrow(make, "h bigint, kind int, label double, x array<int>, n bigint")
+    by_text = made.groupBy("h", "kind", "label", "x").agg(F.max("n").alias("n"))
+    held = (F.pmod("h", F.lit(5)) == 0).alias("held")
+    return by_text.groupBy(held, "kind", "label", "x").agg(F.sum("n").alias("n"))
+
+
+def _cuts(rows: DataFrame) -> list[np.ndarray]:
+    """Per feature, up to ``BINS - 1`` distinct quantiles of the training rows."""
+    values = rows.where("not held").select("n", F.posexplode("x").alias("feature", "value")).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("feature")
+    upto = F.sum("n").over(of.orderBy("value"))
+    ranked = values.withColumns({"upto": upto, "all": F.sum("n").over(of)})
+    bins = boosting.BINS
+    passes = F.expr(f"least({bins - 1}, {bins} * upto div all) > {bins} * (upto - n) div all")
+    found = ranked.where(passes).select("feature", "value").collect()
+    return [np.array(sorted(r.value for r in found if r.feature == j), np.float64) for j in range(FEATURES)]
+
+
+def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """The rows with their bins, a byte each, in place of the features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
+            bins = [r.tobytes() for r in boosting.binned(x, cuts).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("held", "kind", "label", "n")), pa.array(bins, pa.binary())], ["held", "kind", "label", "n", "bins"])
+
+    made = rows.mapInArrow(run, "held boolean, kind int, label double, n bigint, bins binary")
+    return made.groupBy("held", "kind", "label", "bins").agg(F.sum("n").alias("n"))
+
+
+def _arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """Bins, labels, counts and kinds."""
+    x = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, FEATURES).astype(np.int64)
+    return x, *(np.asarray(rows.column(c).to_pylist(), t) for c, t in (("label", np.float64), ("n", np.int64), ("kind", np.int64)))
+
+
+def _added(rows: DataFrame, cells: Callable[..., np.ndarray]) -> Callable[[int], np.ndarray]:
+    """The whole numbers that ``cells`` makes of the arrays of some rows, added up over all rows by Spark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(cells(*_arrays(b)).ravel() for b in batches)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.atleast_1d(total)[at], pa.int64())], ["cell", "n"])
+
+    found = rows.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect()
+
+    def laid_out(*shape: int) -> np.ndarray:
+        whole = np.zeros(shape, np.int64)
+        for cell, n in found:
+            whole.flat[cell] = n
+        return whole
+
+    return laid_out
+
+
+def _by_step(trees: boosting.Trees, x: np.ndarray, y: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Number of rows by kind, probability in steps, and label; the trees' limits are bins."""
+    found = np.zeros((len(KINDS), STEPS + 1, 2), np.int64)
+    np.add.at(found, (kind, np.floor(trees.probability(x) * STEPS).astype(np.int64), y.astype(np.int64)), n)
+    return found
+
+
+def fit(docs: DataFrame, text_column: str = "text", rounds: int = 40) -> Model:
+    """Trees from the labelled rows of every text, each text counted once.
+
+    A fifth of the texts is held out to set, for each kind, the threshold with the wanted precision. A kind without
+    held-out positives gets threshold 1, which selects nothing. The driver holds sums by node, feature and bin.
+    """
+    rows = stage(labelled_rows(docs, text_column), "pii-labelled")
+    cuts = _cuts(rows)
+    table = stage(_binned(rows, cuts), "pii-binned")
+    train, held = table.where("not held").drop("held"), table.where("held").drop("held")
+    distinct, n, positive = table.agg(F.count("*"), F.sum(F.expr("if(held, 0, n)")), F.sum(F.expr("if(held, 0, n * label)"))).first()
+    if distinct <= LOCAL_ROWS:
+        x, y, count, _ = _arrays(train.toArrow())
+        sums = boosting.sums_of(x, y, count)
+    else:
+        def sums(trees: boosting.Trees, level: int) -> np.ndarray:
+            cells = lambda x, y, n, kind: boosting.level_sums(trees, level, x, y, n, trees.score(x))
+            return _added(train, cells)(2**level, FEATURES, boosting.BINS, 2)
+
+    over_bins = boosting.grow(sums, cuts, int(positive or 0), int(n or 0), rounds)
+    counts = _added(held, lambda *arrays: _by_step(over_bins, *arrays))(len(KINDS), STEPS + 1, 2)
+    steps, labels = np.repeat(np.arange(STEPS + 1) / STEPS, 2), np.tile([0.0, 1.0], STEPS + 1)
+    limits = []
+    for found in counts.reshape(len(KINDS), -1):
+        some = found > 0
+        limits.append(boosting.calibrated(steps[some], labels[some], PRECISION, LEAST, found[some]))
+    return Model(over_bins.over(cuts), tuple(limits))
 
 
 # ---- operators -------------------------------------------------------------------------------------------

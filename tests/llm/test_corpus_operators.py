@@ -175,6 +175,29 @@ def test_trees_learn_other_forms(spark):
     assert pii.redacted("mail a@b.co now", model.spans("mail a@b.co now")) == "mail [EMAIL] now"
 
 
+def test_op6_learns_from_every_text_alike_in_the_driver_and_by_jobs(spark, monkeypatch):
+    bodies = spark.range(9000).select(
+        F.concat(F.lit("item "), F.col("id"), F.lit(" of the list")).alias("plain"), F.concat(F.lit("card 4111 1111 1111 1111 row "), F.col("id")).alias("card")
+    )
+    plain = bodies.select(F.col("plain").alias("text")).where(F.xxhash64("text") < 0)
+    cards = bodies.select(F.col("card").alias("text")).where(F.xxhash64("text") >= 0).limit(300)
+    docs = plain.unionByName(cards).unionByName(cards)  # copies count once
+    assert plain.count() > 2000  # all of these have smaller hashes
+    expected = sum(1 for r in cards.collect() for _ in pii.labelled(r.text))
+    assert pii.labelled_rows(docs).agg(F.sum("n")).first()[0] == expected
+    model = pii.fit(docs, rounds=4)
+    assert model.trees.leaf and model.thresholds[2] < 1
+    monkeypatch.setattr(pii, "LOCAL_ROWS", 0)
+    other = pii.fit(docs, rounds=4)
+    assert other.thresholds == model.thresholds and all((a == b).all() for a, b in zip(model.trees.limit + model.trees.leaf, other.trees.limit + other.trees.leaf))
+
+
+def test_pii_of_very_many_spans_in_a_text(spark):
+    text = "a@b.co 4111 1111 1111 1111, 212-555-1234; " * 4_000
+    assert sum(1 for _ in pii.labelled(text)) > 20_000  # no copy of the text, no pass over all spans, for each
+    assert pii.strict_spans("0" * 5000 + "1.2.3.4") == [pii.Span(1, 0, 5007)]
+
+
 def test_boosting_and_thresholds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
