@@ -10,8 +10,10 @@ pages assigned, again block by block. Both ways give the same chunks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from .paging import BLOCK_PAGES, page_block, split_by_depth
 
 PAGE_BREAK = "\n\n"
 FAN_IN = 512  # blocks (or groups of blocks) chained in one task
+OUT_ROWS = 1024  # rows (a block's pages at least) that a task returns at a time
 
 
 def chunk_pages(
@@ -90,42 +93,99 @@ def _advance(state: np.ndarray, tokens: int, budget: int) -> tuple[np.ndarray, n
     return after, closes
 
 
-def _block_table(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
+def _per_group(rows: DataFrame, keys: list[str], order: list[str], each: Callable[[pa.Table], list], schema: str, types: pa.Schema) -> DataFrame:
+    """``each`` group's rows, in order, made into columns of new rows.
+
+    A task walks through its sorted rows: blocks may be very many and short, and a Python call with a frame
+    of its own for each would cost far more than the work.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[list] = [[] for _ in types]
+        for group in _groups(batches, keys):
+            for column, values in zip(made, each(group)):
+                column.extend(values)
+            if len(made[0]) >= OUT_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(made, types)], schema=types)
+                made = [[] for _ in types]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(made, types)], schema=types)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, which may go on from batch to batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys])
+        if held and (key[:, 0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        for start, end in zip(starts, [*starts[1:], None]):
+            held.append(batch.slice(start) if end is None else batch.slice(start, end - start))
+            if end is not None:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = key[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_table(group: pa.Table, budget: int) -> list:
     state = np.arange(budget + 3)
     closed = np.zeros(budget + 3, dtype=np.int64)
-    for tokens in pdf.sort_values(["page_no", "tokens"], na_position="first")["tokens"]:
-        state, closes = _advance(state, int(tokens), budget)
+    for tokens in group["tokens"].to_pylist():
+        state, closes = _advance(state, tokens, budget)
         closed += closes
-    head = pdf[["doc_id", "block"]].iloc[:1].reset_index(drop=True)
-    return head.assign(state=[state.tolist()], closed=[closed.tolist()])
+    return [[group["doc_id"][0].as_py()], [group["block"][0].as_py()], [state], [closed]]
 
 
-def _join_tables(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tables(group: pa.Table, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tables of a group's blocks; a row with the entry has none."""
+    flat = (np.concatenate([c.flatten().to_numpy() for c in group[name].chunks]) for name in ("state", "closed"))
+    return zip(*(f.reshape(-1, budget + 3) for f in flat))
+
+
+def _join_tables(group: pa.Table, budget: int) -> list:
     """The tables of consecutive blocks as one table of the blocks' parent."""
-    ordered = pdf.sort_values("block")
-    state, closed = (np.asarray(ordered[c].iloc[0]) for c in ("state", "closed"))
-    for after, closes in zip(ordered["state"].iloc[1:], ordered["closed"].iloc[1:]):
-        closed = closed + np.asarray(closes)[state]
-        state = np.asarray(after)[state]
-    head = pdf[["doc_id", "parent"]].iloc[:1].reset_index(drop=True).rename(columns={"parent": "block"})
-    return head.assign(state=[state.tolist()], closed=[closed.tolist()])
-
-
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry state and number of chunks closed so far for each block of one group."""
-    ordered = pdf.sort_values("block").reset_index(drop=True)
-    state, closed = int(ordered["entry_state"].iloc[0]), int(ordered["entry_closed"].iloc[0])
+    state, closed = np.arange(budget + 3), np.zeros(budget + 3, dtype=np.int64)
+    for after, closes in _tables(group, budget):
+        closed = closed + closes[state]
+        state = after[state]
+    return [[group["doc_id"][0].as_py()], [group["parent"][0].as_py()], [state], [closed]]
+
+
+def _walk(group: pa.Table, budget: int) -> list:
+    """Entry state and number of chunks closed so far for each block of one group; its own entry may come first."""
+    state, closed = group["entry_state"][0].as_py(), group["entry_closed"][0].as_py()
+    blocks = group["block"].to_pylist()
+    if state is None:
+        state, closed = budget + 2, 0
+    else:
+        blocks = blocks[1:]
     states, counts = [], []
-    for after, closes in zip(ordered["state"], ordered["closed"]):
+    for after, closes in _tables(group, budget):
         states.append(state)
         counts.append(closed)
         closed += int(closes[state])
         state = int(after[state])
-    return ordered[["doc_id", "block"]].assign(entry_state=states, entry_closed=counts)
+    return [[group["doc_id"][0].as_py()] * len(blocks), blocks, states, counts]
 
 
 _TABLE = "doc_id bigint, block bigint, state array<int>, closed array<bigint>"
+_TABLE_TYPES = pa.schema({"doc_id": pa.int64(), "block": pa.int64(), "state": pa.list_(pa.int32()), "closed": pa.list_(pa.int64())})
 _ENTRY = "doc_id bigint, block bigint, entry_state int, entry_closed bigint"
+_ENTRY_TYPES = pa.schema({"doc_id": pa.int64(), "block": pa.int64(), "entry_state": pa.int32(), "entry_closed": pa.int64()})
+_CHUNK = "doc_id bigint, page_no bigint, tokens bigint, body string, chunk_no bigint"
+_CHUNK_TYPES = pa.schema({"doc_id": pa.int64(), "page_no": pa.int64(), "tokens": pa.int64(), "body": pa.string(), "chunk_no": pa.int64()})
+
+
+def _with_entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows and, as rows of their own, the entries of their groups, which ``_entry_last`` puts first."""
+    return rows.unionByName(entries, allowMissingColumns=True).withColumn("_entry_last", F.col("entry_state").isNull())
 
 
 def _block_entries(tables: DataFrame, budget: int, blocks: tuple[int, int], fan_in: int) -> DataFrame:
@@ -133,49 +193,48 @@ def _block_entries(tables: DataFrame, budget: int, blocks: tuple[int, int], fan_
 
     ``blocks`` is the range of block numbers; each level divides it by ``fan_in``.
     """
+    def walk(group: pa.Table) -> list:
+        return _walk(group, budget)
+
     low, high = blocks
     if high - low < fan_in:
-        first = tables.withColumn("entry_state", F.lit(budget + 2)).withColumn("entry_closed", F.lit(0).cast("bigint"))
-        return first.groupBy("doc_id").applyInPandas(_walk, _ENTRY)
+        first = tables.withColumn("entry_state", F.lit(None).cast("int")).withColumn("entry_closed", F.lit(None).cast("bigint"))
+        return _per_group(first, ["doc_id"], ["block"], walk, _ENTRY, _ENTRY_TYPES)
     grouped = tables.withColumn("parent", F.floor(F.col("block") / fan_in))
-    parents = grouped.groupBy("doc_id", "parent").applyInPandas(_join_tables, _TABLE)
+    parents = _per_group(grouped, ["doc_id", "parent"], ["block"], lambda group: _join_tables(group, budget), _TABLE, _TABLE_TYPES)
     upper = _block_entries(parents, budget, (low // fan_in, high // fan_in), fan_in)
-    entries = upper.withColumnRenamed("block", "parent")
-    return grouped.join(entries, ["doc_id", "parent"]).groupBy("doc_id", "parent").applyInPandas(_walk, _ENTRY)
-
-
-def _assign(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    ordered = pdf.sort_values(["page_no", "tokens", "body"], na_position="first")
-    state = np.array([ordered["entry_state"].iloc[0]])
-    chunk = int(ordered["entry_closed"].iloc[0]) + 1
-    numbers = []
-    for tokens in ordered["tokens"]:
-        state, closes = _advance(state, int(tokens), budget)
-        chunk += int(closes[0])
+    both = _with_entries(grouped, upper.withColumnRenamed("block", "parent"))
+    return _per_group(both, ["doc_id", "parent"], ["_entry_last", "block"], walk, _ENTRY, _ENTRY_TYPES)
+
+
+def _assign(group: pa.Table, budget: int) -> list:
+    """Chunk numbers of a block's pages; its entry comes first."""
+    state, chunk = group["entry_state"][0].as_py(), group["entry_closed"][0].as_py() + 1
+    pages = group.slice(1)
+    tokens, numbers = pages["tokens"].to_pylist(), []
+    for n in tokens:
+        fresh = state == budget + 2
+        closes = not fresh and state + n > budget
+        state = min(n, budget + 1) if fresh or closes else state + n
+        chunk += closes
         numbers.append(chunk)
-    return ordered[["doc_id", "page_no", "tokens", "body", "last_page"]].assign(chunk_no=numbers)
+    return [*(pages[c].to_pylist() for c in ("doc_id", "page_no")), tokens, pages["body"].to_pylist(), numbers]
 
 
 def _chunk_blocks(pages: DataFrame, budget: int, blocks: tuple[int, int], fan_in: int) -> DataFrame:
-    narrow = pages.select("doc_id", "block", "page_no", "tokens")
-    tables = narrow.groupBy("doc_id", "block").applyInPandas(lambda pdf: _block_table(pdf, budget), _TABLE)
+    pages = pages.select(F.col("doc_id").cast("bigint"), F.col("block").cast("bigint"), F.col("page_no").cast("bigint"), F.col("tokens").cast("bigint"), "body")
+    narrow = pages.drop("body")
+    block = ["doc_id", "block"]
+    tables = _per_group(narrow, block, ["page_no", "tokens"], lambda group: _block_table(group, budget), _TABLE, _TABLE_TYPES)
     last_pages = narrow.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
-    entries = _block_entries(tables, budget, blocks, fan_in).join(last_pages, "doc_id")
-    assigned = (
-        pages.join(entries, ["doc_id", "block"])
-        .groupBy("doc_id", "block")
-        .applyInPandas(
-            lambda pdf: _assign(pdf, budget),
-            "doc_id bigint, page_no bigint, tokens bigint, body string, last_page bigint, chunk_no bigint",
-        )
-    )
+    both = _with_entries(pages, _block_entries(tables, budget, blocks, fan_in))
+    order = ["_entry_last", "page_no", "tokens", "body"]
+    assigned = _per_group(both, block, order, lambda group: _assign(group, budget), _CHUNK, _CHUNK_TYPES)
     text = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "tokens", "body"))), lambda p: p["body"])
     return (
         assigned.groupBy("doc_id", "chunk_no")
-        .agg(
-            strip(F.array_join(text, "")).alias("chunk_text"),
-            F.coalesce(F.max("page_no") == F.max("last_page"), F.lit(False)).alias("_last"),
-        )
-        .where((F.col("chunk_text") != "") | ~F.col("_last"))
-        .drop("_last")
+        .agg(strip(F.array_join(text, "")).alias("chunk_text"), F.max("page_no").alias("_page"))
+        .join(last_pages, "doc_id")
+        .where((F.col("chunk_text") != "") | ~F.coalesce(F.col("_page") == F.col("last_page"), F.lit(False)))
+        .drop("_page", "last_page")
     )

@@ -57,6 +57,19 @@ def test_short_documents_need_one_shuffle_and_no_python(spark, tmp_path):
     assert text.count("Exchange hashpartitioning") == 1 and "Python" not in text and "Join" not in text
 
 
+def test_blocks_are_walked_in_order_without_a_frame_each(spark):
+    rows = [(d, p, "w " * ((d * 7 + p * 5) % 9)) for d in range(6) for p in range(d * 3 + 1)] + [(5, None, "x y"), (5, 3, "z")]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no long, text string")
+    whole = {tuple(r) for r in chunking.chunk_pages(pages, 10).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # groups go on from batch to batch
+    try:
+        blocked = chunking.chunk_pages(pages, 10, block_pages=4, fan_in=2)
+        assert {tuple(r) for r in blocked.collect()} == whole and len(whole) > 6
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in plan(blocked)
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(QUERIES["doc_type_counts"](spark, SF))
     assert "o_orderpriority" not in text and "c_mktsegment" not in text
