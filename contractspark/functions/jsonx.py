@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +28,13 @@ def strict_label(text: Column, schema: str = schemas.LABEL) -> Column:
     Spark's parsers ignore trailing text, so the text is parsed once, as the first entry of an array that a
     ``null`` ends: a text that holds more entries, or closes the array itself, has no ``null`` as its second
     and last one. A field whose own value is malformed (a key twice in an inner object) is missing. Only blanks before the brace are looked at: trimming both ends of a long text
-    costs a pass over all of it.
+    costs a pass over all of it. A text that ends with neither a brace nor a blank is no object; most cut off texts
+    and those with words behind the object are told so, and not by an exception of the parser.
     """
     opens = F.startswith(F.ltrim(text, F.lit(JSON_BLANKS)), F.lit("{"))
+    ends = functools.reduce(operator.or_, [F.endswith(text, F.lit(last)) for last in "}" + JSON_BLANKS])
     entries = F.from_json(
-        F.when(opens, F.concat(F.lit("["), text, F.lit(",null]"))),
+        F.when(opens & ends, F.concat(F.lit("["), text, F.lit(",null]"))),
         f"array<struct<{_fields(schema)}>>", _PARSE_OPTIONS,
     )
     return let(entries, lambda parsed: F.when((F.size(parsed) == 2) & parsed[1].isNull(), parsed[0]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .dates import normalize_date
 from .text import let, normal_words, normalize_text
 
-PARTY_SEPARATOR = r"(?iU),|;|\band\b"
+AND = r"(?iU)\band\b"
 
 
 def token_set(text: Column) -> Column:
@@ -22,9 +22,13 @@ def normal_token_set(normal: Column) -> Column:
 
 
 def split_parties(text: Column) -> Column:
-    """Distinct normalised party names of a text, split at ``,`` ``;`` and the word "and"."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), PARTY_SEPARATOR), lambda p: normalize_text(p))
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+    """Distinct normalised party names of a text, split at ``,`` ``;`` and the word "and".
+
+    All separators become commas first: a split at more than one character compiles its expression for each row.
+    """
+    commas = F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), AND, ","), F.lit(";"), F.lit(","))
+    parts = F.transform(F.split(commas, ","), lambda p: normalize_text(p))
+    return F.array_distinct(F.array_remove(parts, ""))
 
 
 def sets_f1(predicted: Column, truth: Column) -> Column:

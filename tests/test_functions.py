@@ -219,3 +219,8 @@ def test_messages_roles_and_rendering(spark):
 
 def test_token_count(spark):
     assert column(spark, ["Hello, wörld_1!", "", None, " \n"], tokens.regex_token_count) == [4, 0, 0, 0]
+
+
+def test_a_label_ends_with_its_brace(spark):
+    texts = ['{"parties": []}', '{"parties": []} \n\t\r', '{"parties": []},null]', '{"parties": []}\u00a0', '{"parties": [] ', '{"parties": []} words', " {}", None, ""]
+    assert column(spark, texts, lambda t: jsonx.strict_label(t).isNotNull()) == [True, True, False, False, False, False, True, False, False]
