@@ -36,10 +36,11 @@ def parse_date(text: Column) -> Column:
     The shape decides which spelling is tried, so no attempt fails with an exception. Every spelling ends
     with a digit, so other texts are told by their last character.
     """
-    return let(strip(text), _stripped_date)
+    return let(strip(text), parse_stripped)
 
 
-def _stripped_date(t: Column) -> Column:
+def parse_stripped(t: Column) -> Column:
+    """:func:`parse_date` of a stripped text at hand in a column."""
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(t, pattern, group)
 

@@ -25,6 +25,16 @@ def truth_flags(date_text: Column, parties_text: Column, rules: RuleSet = DEFAUL
     )
 
 
+def truth_is_flagged(normal_date: Column, lower_parties: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """Whether :func:`truth_flags` names a field, from the normalised date and the parties in lower case."""
+    return contains_any(normal_date, rules.date_words) | contains_any(lower_parties, rules.party_words)
+
+
 def document_type(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    return document_type_of_lower(F.lower(text), rules)
+
+
+def document_type_of_lower(lowered: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """:func:`document_type` of a text in lower case, which is searched for each marker."""
     templated, filing = DOC_TYPES
-    return F.when(contains_any(F.lower(text), rules.filing_markers), F.lit(filing)).otherwise(F.lit(templated))
+    return F.when(contains_any(lowered, rules.filing_markers), F.lit(filing)).otherwise(F.lit(templated))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import CANDIDATE_NULLS, EVALUATION_NULLS, GROUNDED_SHARE
 from .text import let, normal_words, strip, words
 
+NORMAL_NULLS = tuple(re.sub(r"[^\w\s]", "", null) for null in EVALUATION_NULLS)
+
 
 def _share_found(value_words: Column, source: Column) -> Column:
     """Share of words that occur anywhere in the source; NULL without words."""
@@ -36,10 +40,20 @@ def is_grounded(value: Column, lower_source: Column) -> Column:
 
 def is_hallucinated(value: Column, normal_value: Column, normal_source: Column) -> Column:
     """Evaluation rule: the value, the same normalised, and the normalised source text."""
-    return F.when(
-        value.isNull() | ~is_populated(value) | F.contains(normal_source, normal_value), F.lit(False)
-    ).otherwise(F.coalesce(_share_found(normal_words(normal_value), normal_source) < GROUNDED_SHARE, F.lit(False)))
+    return is_unsupported(value.isNotNull() & is_populated(value), normal_value, normal_source)
+
+
+def is_unsupported(claimed: Column, normal_value: Column, normal_source: Column) -> Column:
+    """:func:`is_hallucinated` for a value known to be there and populated (``claimed``) or not."""
+    return F.when(~claimed | F.contains(normal_source, normal_value), F.lit(False)).otherwise(
+        F.coalesce(_share_found(normal_words(normal_value), normal_source) < GROUNDED_SHARE, F.lit(False))
+    )
 
 
 def is_populated(value: Column) -> Column:
     return ~strip(F.lower(value)).isin(*EVALUATION_NULLS)
+
+
+def normal_is_populated(value: Column, normal_value: Column) -> Column:
+    """:func:`is_populated` where the normalised value is at hand: only few of those can be null-like."""
+    return ~(normal_value.isin(*NORMAL_NULLS) & strip(F.lower(value)).isin(*EVALUATION_NULLS))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..rules import FIELDS
-from .text import count_of, last_position, let, strip_end
+from .text import contains_any, count_of, let, strip_end
 
 JSON_BLANKS = " \t\n\r"
 CORRUPT = "_corrupt_record"
@@ -31,13 +31,30 @@ def strict_label(text: Column, schema: str = schemas.LABEL) -> Column:
     costs a pass over all of it. A text that ends with neither a brace nor a blank is no object; most cut off texts
     and those with words behind the object are told so, and not by an exception of the parser.
     """
+    return let(_entries(text, schema), _only_entry)
+
+
+def with_strict_label(rows: DataFrame, text: str, name: str, schema: str = schemas.LABEL) -> DataFrame:
+    """Adds :func:`strict_label` of a column by projections of compiled code, which take the parsed entries once."""
+    value, parsed = F.col(text), f"_entries_{name}"
+    return (
+        rows.withColumn(parsed, _entries(value, schema))
+        .withColumn(name, _only_entry(F.col(parsed)))
+        .drop(parsed)
+    )
+
+
+def _entries(text: Column, schema: str) -> Column:
     opens = F.startswith(F.ltrim(text, F.lit(JSON_BLANKS)), F.lit("{"))
     ends = functools.reduce(operator.or_, [F.endswith(text, F.lit(last)) for last in "}" + JSON_BLANKS])
-    entries = F.from_json(
+    return F.from_json(
         F.when(opens & ends, F.concat(F.lit("["), text, F.lit(",null]"))),
         f"array<struct<{_fields(schema)}>>", _PARSE_OPTIONS,
     )
-    return let(entries, lambda parsed: F.when((F.size(parsed) == 2) & parsed[1].isNull(), parsed[0]))
+
+
+def _only_entry(parsed: Column) -> Column:
+    return F.when((F.size(parsed) == 2) & F.get(parsed, F.lit(1)).isNull(), F.get(parsed, F.lit(0)))
 
 
 def _fields(schema: str) -> str:
@@ -63,15 +80,24 @@ def close_truncated(text: Column) -> Column:
     The cut is at the later of the last comma (dropped) and the last opening brace (kept). Open arrays
     are not repaired, so the result still has to pass :func:`strict_label`.
     """
-    def head(body: Column) -> Column:
-        comma, brace = last_position(body, ","), last_position(body, "{")
-        return F.when(F.greatest(comma, brace) > 0, F.substring(body, F.lit(1), F.greatest(comma - 1, brace)))
+    return let(let(strip_end(text), _complete_head), _closed)
 
-    def close(kept: Column) -> Column:
-        quoted = F.concat(kept, F.when(count_of(kept, '"') % 2 == 1, F.lit('"')).otherwise(F.lit("")))
-        return F.concat(strip_end(strip_end(quoted), ","), F.lit("}"))
 
-    return let(let(strip_end(text), head), close)
+def with_closed(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds :func:`close_truncated` of a column by projections of compiled code."""
+    value = F.col(name)
+    body = rows.withColumn(name, strip_end(F.col(text)))
+    return body.withColumn(name, _complete_head(value)).withColumn(name, _closed(value))
+
+
+def _complete_head(body: Column) -> Column:
+    cut = F.contains(body, F.lit(",")) | F.contains(body, F.lit("{"))
+    return F.when(cut, F.regexp_extract(body, r"(?s)^.*(?:\{|(?=,))", 0))
+
+
+def _closed(kept: Column) -> Column:
+    quoted = F.concat(kept, F.when(count_of(kept, '"') % 2 == 1, F.lit('"')).otherwise(F.lit("")))
+    return F.concat(strip_end(strip_end(quoted), ","), F.lit("}"))
 
 
 def kind(value: Column) -> Column:
@@ -150,10 +176,27 @@ def text_of_kind(value: Column, type_name: Column) -> Column:
 def with_field_texts(rows: DataFrame, label: str, prefix: str = "", fields: Iterable[str] = FIELDS) -> DataFrame:
     """Adds the label's fields as text columns ``<prefix><field>``; all empty when the label itself is NULL.
 
-    The kinds are a projection of their own, so each is found once and the texts are compiled code.
+    The kinds are a projection of their own, so each is found once and the texts are compiled code. So are the
+    entries of a list of texts, which is printed at once unless an entry has to be escaped.
     """
-    kinds = {f: f"_kind_{f}" for f in fields}
+    kinds, lists = {f: f"_kind_{f}" for f in fields}, {f: f"_list_{f}" for f in fields}
     value = F.col(label)
-    found = rows.withColumns({name: kind(value[f]) for f, name in kinds.items()})
-    texts = {f"{prefix}{f}": text_of_kind(value[f], F.col(name)) for f, name in kinds.items()}
-    return found.withColumns(texts).drop(*kinds.values())
+    found = rows.withColumns({name: kind(value[f]) for f, name in kinds.items()}).withColumns({
+        name: F.when(F.col(kinds[f]) == "ARRAY<STRING>", F.try_variant_get(value[f], "$", "array<string>"))
+        for f, name in lists.items()
+    })
+    texts = {
+        f"{prefix}{f}": F.when(_is_plain(F.col(lists[f])), _plain_list(F.col(lists[f])))
+        .otherwise(text_of_kind(value[f], F.col(name)))
+        for f, name in kinds.items()
+    }
+    return found.withColumns(texts).drop(*kinds.values(), *lists.values())
+
+
+def _is_plain(entries: Column) -> Column:
+    """Whether no entry of an array<string> is NULL (shown as a character to escape) or needs an escape."""
+    return entries.isNotNull() & ~contains_any(F.array_join(entries, " ", "\\"), ("\\", "\n", "\r", "\t", "'"))
+
+
+def _plain_list(entries: Column) -> Column:
+    return F.concat(F.lit("['"), F.array_join(entries, "', '"), F.lit("']"))

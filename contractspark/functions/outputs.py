@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let, strip
+from .text import let, strip, strip_stored
 
 
 def unfence(text: Column) -> Column:
     """Output text without surrounding backticks and a leading ``json`` tag."""
-    def untag(bare: Column) -> Column:
-        tagged = F.ltrim(F.substring(bare, F.lit(5), F.length(bare)), F.lit("\n"))
-        return F.when(F.startswith(bare, F.lit("json")), tagged).otherwise(bare)
+    return let(strip(strip(text), "`"), _untag)
 
-    return let(strip(strip(text), "`"), untag)
+
+def _untag(bare: Column) -> Column:
+    tagged = F.ltrim(F.substring(bare, F.lit(5), F.length(bare)), F.lit("\n"))
+    return F.when(F.startswith(bare, F.lit("json")), tagged).otherwise(bare)
+
+
+def with_unfenced(outputs: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds :func:`unfence` of a column by projections of compiled code; only fenced texts are trimmed."""
+    value, tick = F.col(name), F.lit("`")
+    fenced = F.startswith(value, tick) | F.endswith(value, tick)
+    return (
+        outputs.withColumn(name, strip_stored(F.col(text)))
+        .withColumn(name, F.when(fenced, strip(value, "`")).otherwise(value))
+        .withColumn(name, _untag(value))
+    )
 
 
 def demo_text(text: Column) -> Column:

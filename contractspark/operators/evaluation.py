@@ -7,15 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_date
-from ..functions.flags import document_type, truth_flags
-from ..functions.grounding import is_hallucinated, is_populated
-from ..functions.jsonx import close_truncated, strict_label, with_field_texts
+from ..functions.dates import parse_stripped
+from ..functions.flags import document_type, document_type_of_lower, truth_is_flagged
+from ..functions.grounding import is_unsupported, normal_is_populated
+from ..functions.jsonx import with_closed, with_field_texts, with_strict_label
 from ..functions.messages import first_of_role
-from ..functions.outputs import unfence
+from ..functions.outputs import with_unfenced
 from ..functions.repetition import loop_position
-from ..functions.scoring import normal_token_set, sets_f1, split_parties
-from ..functions.text import normalize_text
+from ..functions.scoring import normal_token_set, party_key, party_set, with_set_scores
+from ..functions.text import apart, let, normalize_lower, strip_stored
 from ..rules import DEFAULT_RULES, DOC_TYPES, FIELDS, LOOP_MIN_LEN, LOOP_REPEATS, METRIC_LABELS, RuleSet
 
 OVERALL = "overall"
@@ -36,35 +36,33 @@ def parse_outputs(outputs: DataFrame, text: str = "output_text") -> DataFrame:
     """
     direct, loop_at = F.col("_direct"), F.col("_loop_at")
     searched = direct.isNull() & (F.length("_text") > LOOP_MIN_LEN * LOOP_REPEATS)
-    rest = F.substring(F.col("_text"), F.lit(1), loop_at)
-    salvaged = F.when(loop_at >= 0, strict_label(close_truncated(rest)))
-    parsed = (
-        outputs.withColumn("_text", unfence(F.col(text)))
-        .withColumn("_direct", strict_label(F.col("_text")))
-        .withColumn("_loop_at", loop_position(F.when(searched, F.col("_text"))))
-        .withColumn("_label", F.coalesce(direct, salvaged))
-    )
+    rest = F.when(loop_at >= 0, F.substring(F.col("_text"), F.lit(1), loop_at))
+    parsed = with_strict_label(with_unfenced(outputs, text, "_text"), "_text", "_direct")
+    cut = parsed.withColumn("_loop_at", loop_position(F.when(searched, F.col("_text")))).withColumn("_rest", rest)
+    salvaged = with_strict_label(with_closed(cut, "_rest", "_rest"), "_rest", "_salvaged")
     return (
-        with_field_texts(parsed, "_label", "pred_")
+        with_field_texts(salvaged.withColumn("_label", F.coalesce(direct, F.col("_salvaged"))), "_label", "pred_")
         .withColumn("parse_failed", F.col("_label").isNull())
         .withColumn("was_truncated", loop_at >= 0)
-        .drop("_text", "_direct", "_loop_at", "_label")
+        .drop("_text", "_direct", "_loop_at", "_rest", "_salvaged", "_label")
     )
 
 
-def _prepared(field: str, text: Column, normal: Column) -> Column:
-    """What the score of a field compares, so that it is computed once per side."""
-    if field == "parties":
-        return split_parties(text)
-    if field == "effective_date":
-        return F.coalesce(parse_date(text).cast("string"), normal)
-    return normal_token_set(normal)
-
+def _with_keys(rows: DataFrame, texts: dict[str, str], prefix: str) -> DataFrame:
+    """Adds, per field, ``<prefix><field>``: the text that its score compares, computed once per side.
 
-def _score(field: str, predicted: Column, truth: Column) -> Column:
-    if field == "effective_date":
-        return F.when(predicted == truth, F.lit(1.0)).otherwise(F.lit(0.0))
-    return sets_f1(predicted, truth)
+    ``_normal_<field>`` and ``_lower_parties`` stay at hand for what else is asked of a field's text.
+    """
+    date = texts["effective_date"]
+    stored = rows.withColumns({f"_lower_{f}": F.lower(F.col(t)) for f, t in texts.items()}).withColumns({
+        **{f"_normal_{f}": normalize_lower(F.col(f"_lower_{f}")) for f in FIELDS},
+        "_date": let(F.col(date), strip_stored),
+    })
+    keys = {f: F.col(f"_normal_{f}") for f in FIELDS}
+    keys["liability_cap"] = apart(keys["liability_cap"])
+    keys["parties"] = party_key(F.col(texts["parties"]))
+    keys["effective_date"] = F.coalesce(parse_stripped(F.col("_date")).cast("string"), keys["effective_date"])
+    return stored.withColumns({f"{prefix}{f}": key for f, key in keys.items()})
 
 
 def prepare_truth(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
@@ -72,42 +70,48 @@ def prepare_truth(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFr
 
     Computed before the join with the predictions, hence once per example rather than per model.
     """
-    text = {f: F.col(f"_text_{f}") for f in FIELDS}
-    normal = {f: F.col(f"_normal_{f}") for f in FIELDS}
+    text = {f: f"_text_{f}" for f in FIELDS}
     source = F.coalesce(first_of_role(F.col("messages"), "user"), F.lit(""))
-    labelled = examples.select(
-        "example_id", source.alias("_source"),
-        strict_label(first_of_role(F.col("messages"), "assistant")).alias("_label"),
-    )
-    return (
-        with_field_texts(labelled, "_label", "_text_")
-        .withColumns({f"_normal_{f}": normalize_text(text[f]) for f in FIELDS})
-        .select(
-            "example_id",
-            normalize_text(F.col("_source")).alias("source"),
-            document_type(F.col("_source"), rules).alias("doc_type"),
-            (F.size(truth_flags(text["effective_date"], text["parties"], rules)) > 0).alias("flagged"),
-            *[_prepared(f, text[f], normal[f]).alias(f"truth_{f}") for f in FIELDS],
-            *[is_populated(text[f]).alias(f"populated_{f}") for f in FIELDS],
-        )
+    told = examples.select(
+        "example_id", source.alias("_source"), first_of_role(F.col("messages"), "assistant").alias("_told"),
+    ).withColumn("_lower_source", F.lower("_source"))
+    labelled = with_field_texts(with_strict_label(told, "_told", "_label"), "_label", "_text_")
+    return _with_keys(labelled, text, "truth_").select(
+        "example_id",
+        normalize_lower(F.col("_lower_source")).alias("source"),
+        document_type_of_lower(F.col("_lower_source"), rules).alias("doc_type"),
+        truth_is_flagged(F.col("_normal_effective_date"), F.col("_lower_parties"), rules).alias("flagged"),
+        *[f"truth_{f}" for f in FIELDS],
+        *[normal_is_populated(F.col(text[f]), F.col(f"_normal_{f}")).alias(f"populated_{f}") for f in FIELDS],
     )
 
 
 def score_predictions(predictions: DataFrame, examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Per model and example: ``doc_type, parse_failed, was_truncated, flagged`` and, per field,
     ``score_*``, ``hallucinated_*`` and ``populated_*``. One join on ``example_id``."""
-    pred = {f: F.col(f"pred_{f}") for f in FIELDS}
-    normal = {f: F.col(f"normal_{f}") for f in FIELDS}
-    parsed = (
-        parse_outputs(predictions)
-        .select("model", "example_id", "parse_failed", "was_truncated", *pred.values())
-        .withColumns({f"normal_{f}": normalize_text(pred[f]) for f in FIELDS})
-        .withColumns({f"set_{f}": _prepared(f, pred[f], normal[f]) for f in FIELDS})
+    pred = {f: f"pred_{f}" for f in FIELDS}
+    normal = {f: F.col(f"_normal_{f}") for f in FIELDS}
+    claims = {f"_claims_{f}": F.col(p).isNotNull() & normal_is_populated(F.col(p), normal[f]) for f, p in pred.items()}
+    parsed = _with_keys(parse_outputs(predictions), pred, "key_").select(
+        "model", "example_id", "parse_failed", "was_truncated", *[f"key_{f}" for f in FIELDS],
+        *[F.when(claim, normal[f]).alias(name) for f, (name, claim) in zip(FIELDS, claims.items())],
+    )
+    splitters = dict.fromkeys(FIELDS, normal_token_set) | {"parties": party_set}
+    del splitters["effective_date"]
+    pairs = with_set_scores(
+        align_predictions(parsed, prepare_truth(examples, rules)),
+        {f"score_{f}": (f"key_{f}", f"truth_{f}", split) for f, split in splitters.items()},
     )
-    return align_predictions(parsed, prepare_truth(examples, rules)).select(
+    same_date = F.col("key_effective_date") == F.col("truth_effective_date")
+    score = {f: F.col(f"score_{f}") for f in splitters}
+    score["effective_date"] = F.when(same_date, F.lit(1.0)).otherwise(F.lit(0.0))
+    return pairs.select(
         "model", "example_id", "doc_type", "parse_failed", "was_truncated", "flagged",
-        *[_score(f, F.col(f"set_{f}"), F.col(f"truth_{f}")).alias(f"score_{f}") for f in FIELDS],
-        *[is_hallucinated(pred[f], normal[f], F.col("source")).alias(f"hallucinated_{f}") for f in FIELDS],
+        *[score[f].alias(f"score_{f}") for f in FIELDS],
+        *[
+            is_unsupported(F.col(name).isNotNull(), F.col(name), F.col("source")).alias(f"hallucinated_{f}")
+            for f, name in zip(FIELDS, claims)
+        ],
         *[f"populated_{f}" for f in FIELDS],
     )
 

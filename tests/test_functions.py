@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contractspark.functions import dates, flags, grounding, jsonx, messages, outputs, parties, repetition, scoring, text, tokens
 from contractspark.functions.repetition import loop_start
-from contractspark.rules import LOOP_MAX_LEN, LOOP_MIN_LEN
+from contractspark.rules import FIELDS, LOOP_MAX_LEN, LOOP_MIN_LEN
 
 
 def column(spark, values, fn, schema="string"):
@@ -224,3 +224,56 @@ def test_token_count(spark):
 def test_a_label_ends_with_its_brace(spark):
     texts = ['{"parties": []}', '{"parties": []} \n\t\r', '{"parties": []},null]', '{"parties": []}\u00a0', '{"parties": [] ', '{"parties": []} words', " {}", None, ""]
     assert column(spark, texts, lambda t: jsonx.strict_label(t).isNotNull()) == [True, True, False, False, False, False, True, False, False]
+
+
+ODD_NAMES = [
+    None, "", " ", ",", "Acme, Beta; Gamma and Delta", "Sandy ANDroid aNd Brandy", "a_and_b and\u00a0c", "x and\u0301 y", "\u0391\u03a3.and \u0391\u03a3, \u03a3\u0391\u03a3;b",
+    "\u0130 and I", "\ta\x1f ,\u2003 b\u3000 ,, c and", "and", "And and AND", "1and 1 and2", "p\U0001f600and q", "a - b , - , c", "['A & B', \"C\"]", "A\n and\r\nB",
+]
+
+
+def test_party_names_are_those_of_each_part_on_its_own(spark):
+    def parts(value):
+        commas = F.replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?iU)\band\b", ","), F.lit(";"), F.lit(","))
+        return F.array_distinct(F.array_remove(F.transform(F.split(commas, ","), lambda p: text.normalize_text(p)), ""))
+
+    assert column(spark, ODD_NAMES, scoring.split_parties) == column(spark, ODD_NAMES, parts)
+
+
+def test_patterns_for_speed_hold_the_same_characters(spark):
+    codes = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")
+    )
+    bare, plain = F.regexp_replace("c", text.NOT_WORD_OR_SPACE, ""), F.regexp_replace("c", text.NOT_WORD_OR_SPACE_RUN, "")
+    spaces = F.regexp_replace("c", text.SPACE_RUN, " ") != F.regexp_replace("c", text.UNEVEN_SPACE_RUN, " ")
+    assert codes.where((bare != plain) | spaces).count() == 0
+    runs = [a + b + c for a in ("", "x", " ", "\t") for b in (" ", "  ", "\t ", " \u2003", "\n\n", " y ") for c in ("", "z", " ")]
+    assert column(spark, runs, text.collapse_spaces) == column(spark, runs, lambda v: F.trim(F.regexp_replace(v, text.SPACE_RUN, " ")))
+
+
+def test_staged_columns_equal_the_column_functions(spark):
+    bodies = [
+        None, "", " ", "\u3000{}\u00a0", "```json\n{\"parties\": [\"a\", \"it's\"]}\n```", '{"parties": ["a", null, "b\\n"]}', '{"parties": []}', '{"parties": ["x", 1]}',
+        '{"parties": ["a\\"b", "c"], "liability_cap": ["p", "q"], "effective_date": "2024-1-2 "}', '{"parties": "a", "liability_cap": 1.5, "effective_date": null}',
+        "json{}", "`{}", '{"a": {"b": 1}, "c": "d', '{"parties": ["a"]},null]', "no, {", ",", "a\n,b\n{c\n", "\u00e9, x",
+    ]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, v string")
+    staged = outputs.with_unfenced(rows, "v", "t")
+    staged = jsonx.with_closed(jsonx.with_strict_label(staged, "t", "label"), "t", "closed")
+    label = F.col("label")
+    wrong = jsonx.with_field_texts(staged, "label", "p_").where(
+        ~F.col("t").eqNullSafe(outputs.unfence(F.col("v"))) | ~F.col("closed").eqNullSafe(jsonx.close_truncated(F.col("t")))
+        | (label.isNull() != jsonx.strict_label(F.col("t")).isNull())
+        | ~F.array(*[F.col(f"p_{f}") for f in FIELDS]).eqNullSafe(F.array(*[jsonx.stringify(label[f]) for f in FIELDS]))
+    )
+    assert wrong.select("v").collect() == []
+    values = spark.createDataFrame([(v,) for v in [*ODD_NAMES, "N/A", " n/a\t", "Not Specified", "not. specified", "na", "-"]], "v string")
+    told, normal = grounding.is_populated(F.col("v")), text.normalize_text(F.col("v"))
+    assert values.where(~told.eqNullSafe(grounding.normal_is_populated(F.col("v"), normal))).count() == 0
+
+
+def test_first_of_role_looks_behind_the_first_messages(spark):
+    kind = "array<struct<role:string,content:string>>"
+    cases = [None, [], [("a", "1")], [(None, "x"), ("b", None), ("b", "2")], [("a", "")] * 3 + [("b", "4"), ("b", "5")]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, m {kind}").orderBy("i")
+    assert [r[0] for r in df.select(messages.first_of_role(F.col("m"), "b")).collect()] == [None, None, None, None, "4"]

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from contractspark.operators import chunking, split
+from contractspark.operators import chunking, evaluation, split
+from contractspark.plans import fixtures
 from contractspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +33,13 @@ def test_evaluation_parses_each_text_once(spark):
     assert text.count("ArrowEvalPython") == 1
 
 
+def test_scoring_stages_its_texts_and_shuffles_no_lists(spark):
+    text = plan(QUERIES["metrics_by_type"](spark, SF))
+    assert "transform(array(from_json" not in text and "transform(array(trim" not in text
+    truth = evaluation.prepare_truth(fixtures.examples(spark, SF))
+    assert not [f.name for f in truth.schema if f.dataType.typeName() == "array"]
+
+
 def test_cleaning_parses_each_label_once_and_stays_in_the_jvm(spark):
     text = plan(QUERIES["clean_parties"](spark, SF))
     assert text.count("from_json(") == 1 and "Python" not in text
