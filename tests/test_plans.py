@@ -33,8 +33,9 @@ def test_evaluation_parses_each_text_once(spark):
     assert text.count("ArrowEvalPython") == 1
 
 
-def test_scoring_stages_its_texts_and_shuffles_no_lists(spark):
-    text = plan(QUERIES["metrics_by_type"](spark, SF))
+@pytest.mark.parametrize("name", ["metrics_by_type", "markdown_table"])
+def test_scoring_stages_its_texts_and_shuffles_no_lists(spark, name):
+    text = plan(QUERIES[name](spark, SF))
     assert "transform(array(from_json" not in text and "transform(array(trim" not in text
     truth = evaluation.prepare_truth(fixtures.examples(spark, SF))
     assert not [f.name for f in truth.schema if f.dataType.typeName() == "array"]
