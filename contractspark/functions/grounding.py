@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import CANDIDATE_NULLS, EVALUATION_NULLS, GROUNDED_SHARE
-from .text import let, normal_words, strip, words
+from .text import let, normal_words, strip, strip_stored, words
 
 NORMAL_NULLS = tuple(re.sub(r"[^\w\s]", "", null) for null in EVALUATION_NULLS)
 
@@ -54,6 +54,11 @@ def is_populated(value: Column) -> Column:
     return ~strip(F.lower(value)).isin(*EVALUATION_NULLS)
 
 
+def lower_is_populated(lowered: Column) -> Column:
+    """:func:`is_populated` of a text in lower case at hand in a column."""
+    return ~strip_stored(lowered).isin(*EVALUATION_NULLS)
+
+
 def normal_is_populated(value: Column, normal_value: Column) -> Column:
     """:func:`is_populated` where the normalised value is at hand: only few of those can be null-like."""
     return ~(normal_value.isin(*NORMAL_NULLS) & strip(F.lower(value)).isin(*EVALUATION_NULLS))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_stripped
 from ..functions.flags import document_type, document_type_of_lower, truth_is_flagged
-from ..functions.grounding import is_unsupported, normal_is_populated
+from ..functions.grounding import is_unsupported, lower_is_populated, normal_is_populated
 from ..functions.jsonx import with_closed, with_field_texts, with_strict_label
 from ..functions.messages import first_of_role
 from ..functions.outputs import with_unfenced
@@ -76,13 +76,15 @@ def prepare_truth(examples: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFr
         "example_id", source.alias("_source"), first_of_role(F.col("messages"), "assistant").alias("_told"),
     ).withColumn("_lower_source", F.lower("_source"))
     labelled = with_field_texts(with_strict_label(told, "_told", "_label"), "_label", "_text_")
+    populated = {f: normal_is_populated(F.col(text[f]), F.col(f"_normal_{f}")) for f in FIELDS}
+    populated["parties"] = lower_is_populated(F.col("_lower_parties"))  # their normal form is not asked for here
     return _with_keys(labelled, text, "truth_").select(
         "example_id",
         normalize_lower(F.col("_lower_source")).alias("source"),
         document_type_of_lower(F.col("_lower_source"), rules).alias("doc_type"),
         truth_is_flagged(F.col("_normal_effective_date"), F.col("_lower_parties"), rules).alias("flagged"),
         *[f"truth_{f}" for f in FIELDS],
-        *[normal_is_populated(F.col(text[f]), F.col(f"_normal_{f}")).alias(f"populated_{f}") for f in FIELDS],
+        *[column.alias(f"populated_{f}") for f, column in populated.items()],
     )
 
 
@@ -90,12 +92,17 @@ def score_predictions(predictions: DataFrame, examples: DataFrame, rules: RuleSe
     """Per model and example: ``doc_type, parse_failed, was_truncated, flagged`` and, per field,
     ``score_*``, ``hallucinated_*`` and ``populated_*``. One join on ``example_id``."""
     pred = {f: f"pred_{f}" for f in FIELDS}
+    key = {f: F.col(f"key_{f}") for f in FIELDS}
     normal = {f: F.col(f"_normal_{f}") for f in FIELDS}
-    claims = {f"_claims_{f}": F.col(p).isNotNull() & normal_is_populated(F.col(p), normal[f]) for f, p in pred.items()}
+    claims = {f: F.col(p).isNotNull() & normal_is_populated(F.col(p), normal[f]) for f, p in pred.items()}
+    # A claim is looked up in its normal form; the join carries that only where it is not the key.
+    apart_from_key = ("parties", "effective_date")
     parsed = _with_keys(parse_outputs(predictions), pred, "key_").select(
-        "model", "example_id", "parse_failed", "was_truncated", *[f"key_{f}" for f in FIELDS],
-        *[F.when(claim, normal[f]).alias(name) for f, (name, claim) in zip(FIELDS, claims.items())],
+        "model", "example_id", "parse_failed", "was_truncated", *key.values(),
+        *[claim.alias(f"_claims_{f}") for f, claim in claims.items()],
+        *[F.when(claims[f] & (normal[f] != key[f]), normal[f]).alias(f"_claim_{f}") for f in apart_from_key],
     )
+    claim = key | {f: F.coalesce(F.col(f"_claim_{f}"), key[f]) for f in apart_from_key}
     splitters = dict.fromkeys(FIELDS, normal_token_set) | {"parties": party_set}
     del splitters["effective_date"]
     pairs = with_set_scores(
@@ -109,8 +116,8 @@ def score_predictions(predictions: DataFrame, examples: DataFrame, rules: RuleSe
         "model", "example_id", "doc_type", "parse_failed", "was_truncated", "flagged",
         *[score[f].alias(f"score_{f}") for f in FIELDS],
         *[
-            is_unsupported(F.col(name).isNotNull(), F.col(name), F.col("source")).alias(f"hallucinated_{f}")
-            for f, name in zip(FIELDS, claims)
+            is_unsupported(F.col(f"_claims_{f}"), claim[f], F.col("source")).alias(f"hallucinated_{f}")
+            for f in FIELDS
         ],
         *[f"populated_{f}" for f in FIELDS],
     )

@@ -245,6 +245,23 @@ def test_metrics_of_a_type_without_examples_are_zero(spark):
     assert (bad.n, bad.overall_f1, bad.json_parse_failure_rate) == (1, 0.0, 100.0)
 
 
+def test_claims_are_looked_up_in_their_normal_form(spark):
+    """A date's and a list's keys differ from their normal forms; null-like claims are none, also with blanks around."""
+    fields = ("parties", "effective_date", "liability_cap", "termination_conditions")
+    labels = [
+        (["Acme Inc", "Zed"], "March 3, 2020", "USD 5", "thirty days"), (["Quorum"], "May 7, 1999", "EUR 77", "N/A "),
+        (" Not Specified ", "not specified", " n/a", ""),
+    ]
+    texts = [json.dumps(dict(zip(fields, label))) for label in labels]
+    examples = spark.createDataFrame(
+        [(i, "Acme Inc Zed, March 3, 2020. USD 5 thirty days", t) for i, t in enumerate(texts)], "example_id bigint, u string, a string"
+    ).select("example_id", chat(F.col("u"), F.col("a")).alias("messages"))
+    outputs = spark.createDataFrame([("m", i, t) for i, t in enumerate(texts)], schemas.PREDICTION)
+    got = {r.example_id: r for r in evaluation.score_predictions(outputs, examples).collect()}
+    assert [[got[i][f"hallucinated_{f}"] for f in fields] for i in range(3)] == [[False] * 4, [True] * 3 + [False], [False] * 4]
+    assert [[got[i][f"populated_{f}"] for f in fields] for i in range(3)] == [[True] * 4, [True] * 3 + [False], [False] * 4]
+
+
 def test_failed_repair_still_counts_as_truncated(spark):
     loop = "no braces here, " + "the same clause once and " * 6 + "."
     row = evaluation.parse_outputs(spark.createDataFrame([("m", 1, loop)], schemas.PREDICTION)).first()

@@ -41,6 +41,12 @@ def test_scoring_stages_its_texts_and_shuffles_no_lists(spark, name):
     assert not [f.name for f in truth.schema if f.dataType.typeName() == "array"]
 
 
+def test_scoring_normalises_and_shuffles_no_text_twice(spark):
+    text = plan(QUERIES["markdown_table"](spark, SF))
+    assert not re.search(r"THEN _normal_(liability_cap|termination_conditions)#\d+ END AS", text)  # the keys hold them
+    assert "_normal_parties" not in plan(evaluation.prepare_truth(fixtures.examples(spark, SF)))
+
+
 def test_cleaning_parses_each_label_once_and_stays_in_the_jvm(spark):
     text = plan(QUERIES["clean_parties"](spark, SF))
     assert text.count("from_json(") == 1 and "Python" not in text
