@@ -129,6 +129,18 @@ def test_question_answer_files_hold_a_repeated_context_once(spark, tmp_path):
     assert sorted(map(tuple, tables.read_qa(spark, str(tmp_path / "qa"), "part-*").select("row_id", "context").collect())) == [r[:2] for r in rows]
 
 
+def test_a_context_longer_than_the_codecs_window_is_written_once(spark, tmp_path):
+    """Of six rows of 3 MB one is stored whole; short and absent contexts, and more answers than a dictionary holds, come back too."""
+    text = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3_000_000))
+    long = [(i, text, f"question {i}", (["a"] * (i % 3),)) for i in range(6)]
+    tables.write_qa(spark.createDataFrame(long, schemas.QA_ROW).coalesce(1), str(tmp_path / "long"))
+    assert sum(f.stat().st_size for f in (tmp_path / "long").glob("*.parquet")) < 3_000_000
+    short = [(i, None if i % 7 == 0 else f"Agreement {i // 5}. " + "ü" * (i % 90), "q", ([f"{i:0150d}", ""],)) for i in range(6, 10_000)]
+    tables.write_qa(spark.createDataFrame(short, schemas.QA_ROW).coalesce(1), str(tmp_path / "short"))
+    got = [r for part in ("long", "short") for r in tables.read_qa(spark, str(tmp_path / part), "part-*").collect()]
+    assert sorted((r.row_id, r.context, r.question, (r.answers.text,)) for r in got) == long + short
+
+
 def test_merge_chunks_gathers_what_was_scattered(spark):
     """Chosen records are spread over chunks, with defaults, repeats and junk between; one document is hot."""
     chance, rows, want = random.Random(9), [], {}
